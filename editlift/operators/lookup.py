@@ -28,19 +28,14 @@ def redirect_closure(redirects: DataFrame) -> DataFrame:
     open_before = None
     while True:
         step = current.select(F.col("from_title").alias("_from"), F.col("to_title").alias("_to"))
-        current = reliable_checkpoint(
-            current.join(step, F.col("to_title") == F.col("_from"), "left").select(
-                "from_title",
-                F.coalesce("_to", "to_title").alias("to_title"),
-                F.col("_from").isNotNull().alias("moved"),
-            )
+        doubled = current.join(step, F.col("to_title") == F.col("_from"), "left").select(
+            "from_title", F.coalesce("_to", "to_title").alias("to_title")
         )
-        # A row that moved may now be at its end; only another look can tell.
-        ends = current.select(F.col("from_title").alias("_from"))
+        starts = current.select(F.col("from_title").alias("_from"))
         state = reliable_checkpoint(
-            current.drop("moved")
-            .join(ends, F.col("to_title") == F.col("_from"), "left")
-            .select("from_title", "to_title", F.col("_from").isNotNull().alias("open"))
+            doubled.join(starts, F.col("to_title") == F.col("_from"), "left").select(
+                "from_title", "to_title", F.col("_from").isNotNull().alias("open")
+            )
         )
         still_open = state.where("open").count()
         if still_open == 0 or still_open == open_before:
