@@ -118,7 +118,7 @@ CATALOGUE = """
 SELECT CASE CAST(p_partkey % 9 AS INT) WHEN 0 THEN 'Accuracy' WHEN 1 THEN 'Content' WHEN 2 THEN 'Style'
   WHEN 3 THEN 'File Description' WHEN 4 THEN 'File Quality' WHEN 5 THEN 'Other' WHEN 6 THEN 'Links'
   WHEN 7 THEN 'Layout' ELSE 'Merge' END AS section,
- concat('Category ', CAST(p_partkey % 40 AS STRING)) AS category,
+ concat('Category ', CAST(CAST(floor(p_partkey / 50) AS BIGINT) AS STRING)) AS category,
  concat(CASE CAST(p_partkey % 3 AS INT) WHEN 0 THEN 'T:' WHEN 1 THEN 'Template:' ELSE '' END,
   'Fix ', p_brand, ' ', CAST(p_partkey AS STRING)) AS template
 FROM part

@@ -56,6 +56,17 @@ def newest_revision(pages: DataFrame, title: str = "title", timestamp: str = "ti
     return pages.join(newest, rev, "left_semi")
 
 
+def asked_titles(requests: DataFrame, redirects: DataFrame) -> DataFrame:
+    """(request_id, asked, title): requests with a title, redirects followed."""
+    named = requests.where(~is_blank(F.col("title"))).select("request_id", F.col("title").alias("asked"))
+    return follow_redirects(named, redirects, title="asked", out="title")
+
+
+def requested_pages(asked: DataFrame, pages: DataFrame) -> DataFrame:
+    """The newest revision of every requested title, once each."""
+    return newest_revision(pages.join(asked.select("title").distinct(), "title", "left_semi"))
+
+
 def lookup_pages(requests: DataFrame, pages: DataFrame, redirects: DataFrame) -> DataFrame:
     """Requests with the newest revision of their page, redirects followed.
 
@@ -63,23 +74,18 @@ def lookup_pages(requests: DataFrame, pages: DataFrame, redirects: DataFrame) ->
     dropped. ``requests`` has request_id and title; ``pages`` has revid, pageid,
     title, timestamp, content.
     """
-    asked = follow_redirects(requests.where(~is_blank(F.col("title"))), redirects, out="_page")
-    wanted = pages.join(asked.select(F.col("_page").alias("title")).distinct(), "title", "left_semi")
-    newest = newest_revision(wanted).withColumnRenamed("title", "_page")
+    asked = asked_titles(requests, redirects)
     return (
-        asked.withColumnRenamed("title", "asked")
-        .join(newest, "_page", "left")
+        asked.join(requested_pages(asked, pages), "title", "left")
         .withColumn("found", F.col("revid").isNotNull())
-        .withColumn("talk_page", F.when(F.col("found"), talk_title(F.col("_page"))))
-        .withColumnRenamed("_page", "title")
+        .withColumn("talk_page", F.when(F.col("found"), talk_title(F.col("title"))))
     )
 
 
 def not_found(requests: DataFrame, pages: DataFrame, redirects: DataFrame) -> DataFrame:
     """Requests, blank ones aside, that no page answers."""
-    asked = follow_redirects(requests.where(~is_blank(F.col("title"))), redirects, out="_page")
-    known = pages.select(F.col("title").alias("_page"))
-    return asked.join(known, "_page", "left_anti").select("request_id", "title")
+    asked = asked_titles(requests, redirects)
+    return asked.join(pages.select("title"), "title", "left_anti").select("request_id", "asked", "title")
 
 
 def with_talk_page(pages: DataFrame, talk_pages: DataFrame, title: str = "title") -> DataFrame:

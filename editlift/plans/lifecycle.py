@@ -21,7 +21,7 @@ from editlift.operators.edits import (
 )
 from editlift.operators.evaluation import class_report, confusion_matrix, macro_scores
 from editlift.operators.features import RAW_COLUMNS, featurize
-from editlift.operators.lookup import lookup_pages
+from editlift.operators.lookup import asked_titles, requested_pages
 from editlift.sources.dump import attach_labels, page_revisions
 from editlift.sources.sinks import write_by_label
 
@@ -87,12 +87,12 @@ def answer_requests(
 
     A page asked for many times is featurized and scored once.
     """
-    found = lookup_pages(requests, pages, redirects)
-    wanted = found.where("found").select("title", "revid", "content").dropDuplicates(["revid"])
-    results = page_results(featurize(wanted, "content", lookup, key="revid"), scorer, "revid")
+    asked = asked_titles(requests, redirects)
+    newest = requested_pages(asked, pages).select("title", "revid", "content")
+    results = page_results(featurize(newest, "content", lookup, key="revid"), scorer, "title", "revid")
     return (
-        found.select("request_id", "asked", "title", "revid", "found")
-        .join(results, "revid", "left")
+        asked.join(results, "title", "left")
+        .withColumn("found", F.col("revid").isNotNull())
         .withColumn("url", F.when(F.col("found"), page_url(F.col("title"), lang)))
     )
 

@@ -43,9 +43,9 @@ def read_class_counts(spark: SparkSession, path: str, header: bool = True) -> Da
     return reader.csv(path)
 
 
-def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """The nested maintenance catalogue as one map column ``value``."""
-    text = spark.read.text(path, wholetext=True)
+def read_catalogue(spark: SparkSession, path: str, whole_file: bool = True) -> DataFrame:
+    """The nested maintenance catalogue as a map column ``value``: one per file, or per line."""
+    text = spark.read.text(path, wholetext=whole_file)
     return text.select(F.from_json("value", CATALOGUE_SCHEMA).alias("value"))
 
 

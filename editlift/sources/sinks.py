@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from editlift.functions.labels import known_label
+from editlift.operators.backlog import nest_catalogue
 
 
 def write_ndjson(df: DataFrame, path: str, mode: str = "errorifexists", compression: str = "gzip") -> None:
@@ -36,8 +37,8 @@ def write_by_label(
 
 
 def write_catalogue(catalogue: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Catalogue rows (section, category, template, alias) as ndjson, one template a line."""
-    nested = catalogue.groupBy("section", "category", "template").agg(
-        F.sort_array(F.collect_list("alias")).alias("aliases")
+    """Catalogue rows as lines of nested JSON, one line per section and category."""
+    nested = nest_catalogue(catalogue).select(
+        F.to_json(F.create_map("section", F.create_map("category", "templates"))).alias("value")
     )
-    nested.write.mode(mode).json(path)
+    nested.write.mode(mode).text(path)
