@@ -18,6 +18,7 @@ from editlift.ml.ordinal import SequentialOrdinal
 from editlift.ml.projection import ModelProjection
 
 BUCKET_BITS = 16
+MAX_CLASSES = 1_000
 
 
 def _hash(id_col: str, seed: int):
@@ -30,15 +31,18 @@ def stratified_split(
     """Adds ``is_train``: in each class exactly floor(train * ids) ids, chosen by hash.
 
     Ids are counted per class and leading hash bits, which finds the bucket
-    holding the cut. Only that bucket, one in 65,536, is ranked. The rows then
-    learn their side from one hash per class; they are not shuffled. Copies of
-    an id go to the same side. A null class stays a class of its own.
+    holding the cut. Only that bucket, one in 65,536, is ranked. What remains
+    is one cut per class, fetched like a model parameter, so the rows are
+    split by an expression: no shuffle, and the same side on every run. Copies
+    of an id go to the same side. A null class counts as a class of its own.
     """
-    shift = 64 - BUCKET_BITS
-    y = F.coalesce(F.col(label).cast("string"), F.lit("")).alias("_y")
-    ids = df.select(y, F.col(id_col).alias("_id")).distinct().select(
-        "_y", "_id", F.xxhash64(F.lit(seed), F.col("_id")).alias("_h")
-    ).withColumn("_b", F.shiftright("_h", shift))
+    y = F.col(label).cast("string")
+    ids = (
+        df.select(y.alias("_y"), F.col(id_col).alias("_id"))
+        .distinct()
+        .withColumn("_h", F.xxhash64(F.lit(seed), F.col("_id")))
+        .withColumn("_b", F.shiftright("_h", 64 - BUCKET_BITS))
+    )
     per_bucket = ids.groupBy("_y", "_b").agg(F.count("*").alias("_n"))
     up_to = Window.partitionBy("_y").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy("_y")
@@ -46,17 +50,24 @@ def stratified_split(
         per_bucket.withColumn("_cum", F.sum("_n").over(up_to))
         .withColumn("_want", F.floor(F.sum("_n").over(whole) * F.lit(train)))
         .where((F.col("_cum") > F.col("_want")) & (F.col("_cum") - F.col("_n") <= F.col("_want")))
-        .select("_y", "_b", (F.col("_want") - F.col("_cum") + F.col("_n")).alias("_take"))
+        .select(F.col("_y").alias("_cy"), F.col("_b").alias("_cb"), (F.col("_want") - F.col("_cum") + F.col("_n")).alias("_take"))
     )
     order = Window.partitionBy("_y", "_b").orderBy("_h", "_id")
-    ranked = ids.join(F.broadcast(cut), ["_y", "_b"]).withColumn("_rn", F.row_number().over(order) - 1)
-    first_out = ranked.where(F.col("_rn") == F.col("_take")).select(
-        "_y", F.col("_h").alias("_cut"), F.col("_id").alias("_cut_id")
+    first_out = (
+        ids.join(cut, F.col("_y").eqNullSafe(F.col("_cy")) & (F.col("_b") == F.col("_cb")))
+        .withColumn("_rn", F.row_number().over(order) - 1)
+        .where(F.col("_rn") == F.col("_take"))
+        .select("_y", "_h", "_id")
     )
-    marked = df.withColumn("_y", y).withColumn("_h", _hash(id_col, seed))
-    joined = marked.join(F.broadcast(first_out), "_y", "left")
-    side = (F.col("_h") < F.col("_cut")) | ((F.col("_h") == F.col("_cut")) & (F.col(id_col) < F.col("_cut_id")))
-    return joined.withColumn("is_train", F.coalesce(side, F.lit(True))).select(*df.columns, "is_train")
+    cuts = first_out.limit(MAX_CLASSES + 1).collect()
+    if len(cuts) > MAX_CLASSES:
+        raise ValueError(f"{label} has more than {MAX_CLASSES} values; it is no class column")
+    h, row_id = _hash(id_col, seed), F.col(id_col)
+    is_train = F.lit(True)
+    for c in cuts:
+        before = (h < c["_h"]) | ((h == c["_h"]) & (row_id < c["_id"]))
+        is_train = F.when(y.eqNullSafe(F.lit(c["_y"])), before).otherwise(is_train)
+    return df.withColumn("is_train", is_train)
 
 
 def hash_split(df: DataFrame, id_col: str = "rev_id", train: float = 0.8, seed: int = 1) -> DataFrame:

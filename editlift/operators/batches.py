@@ -1,9 +1,9 @@
 """Global numbering without a global sort: rows ranked by a 64-bit id.
 
-An id is cut into four 16-bit digits. Rows are counted per leading digits, and
-each level of counts is summed up within the level above, so no window ever
-holds more than 65,536 rows, whatever the ids look like. The result does not
-depend on partitioning, so a task that runs again gives the same numbers.
+An id is cut into three digits. Ids are counted per leading digits, and each
+level of counts is summed up within the level above, so no window holds more
+than 2^22 narrow rows, whatever the ids look like. The result does not depend
+on the partitioning, so a task that runs again gives the same numbers.
 """
 
 from __future__ import annotations
@@ -11,34 +11,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DIGIT = 16
-LEVELS = 3
+DIGIT = 22
 
 
 def global_rank(df: DataFrame, id_col: str, out: str = "rank") -> DataFrame:
     """Distinct ids with their rank from 0 in ascending order."""
-    ids = df.select(F.col(id_col).cast("long").alias(id_col)).where(F.col(id_col).isNotNull()).distinct()
-    prefix = [f"_p{k}" for k in range(LEVELS + 1)]
-    cut = ids.select(id_col, *[F.shiftright(id_col, DIGIT * (k + 1)).alias(prefix[k + 1]) for k in range(LEVELS)])
-
-    counts = {1: cut.groupBy(*prefix[1:]).agg(F.count("*").alias("_n"))}
-    for level in range(2, LEVELS + 1):
-        counts[level] = counts[level - 1].groupBy(*prefix[level:]).agg(F.sum("_n").alias("_n"))
-
-    start = None
-    for level in range(LEVELS, 0, -1):
-        within = prefix[level + 1 :]
-        window = (Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))).orderBy(prefix[level])
-        window = window.rowsBetween(Window.unboundedPreceding, -1)
-        offset = F.coalesce(F.sum("_n").over(window), F.lit(0))
-        rows = counts[level].withColumn("_offset", offset)
-        if start is not None:
-            rows = rows.join(start, within).withColumn("_offset", F.col("_offset") + F.col("_start"))
-        start = rows.select(*prefix[level:], F.col("_offset").alias("_start"))
-
-    local = Window.partitionBy(*prefix[1:]).orderBy(id_col)
-    ranked = cut.withColumn("_row", F.row_number().over(local) - 1).join(start, prefix[1:])
-    return ranked.select(id_col, (F.col("_start") + F.col("_row")).alias(out))
+    ids = df.select(F.col(id_col).cast("long").alias("_id")).where(F.col("_id").isNotNull()).distinct()
+    cut = ids.select(
+        "_id", F.shiftright("_id", DIGIT).alias("_mid"), F.shiftright("_id", 2 * DIGIT).alias("_top")
+    ).repartition("_top", "_mid")
+
+    per_mid = cut.groupBy("_top", "_mid").agg(F.count("*").alias("_n"))
+    per_top = per_mid.groupBy("_top").agg(F.sum("_n").alias("_n"))
+    earlier = (Window.unboundedPreceding, -1)
+    # At most 2^20 rows, one per leading digit.
+    tops = per_top.select(
+        "_top",
+        F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_top").rowsBetween(*earlier)), F.lit(0)).alias("_t"),
+    )
+    in_top = Window.partitionBy("_top").orderBy("_mid").rowsBetween(*earlier)
+    mids = per_mid.withColumn("_m", F.coalesce(F.sum("_n").over(in_top), F.lit(0)))
+    starts = mids.join(tops, "_top").select("_top", "_mid", (F.col("_m") + F.col("_t")).alias("_start"))
+
+    local = Window.partitionBy("_top", "_mid").orderBy("_id")
+    ranked = cut.withColumn("_row", F.row_number().over(local) - 1).join(starts, ["_top", "_mid"])
+    return ranked.select(F.col("_id").alias(id_col), (F.col("_start") + F.col("_row")).alias(out))
 
 
 def id_batches(df: DataFrame, id_col: str, size: int = 50, separator: str = "|") -> DataFrame:

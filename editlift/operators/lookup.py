@@ -44,16 +44,18 @@ def redirect_closure(redirects: DataFrame) -> DataFrame:
         current = state.select("from_title", "to_title")
 
 
-def newest_revision(pages: DataFrame, title: str = "title", timestamp: str = "timestamp", rev: str = "revid") -> DataFrame:
-    """The newest revision of every title, by time, then by revision id.
+def newest_ids(pages: DataFrame, title: str = "title", timestamp: str = "timestamp", rev: str = "revid") -> DataFrame:
+    """Id of the newest revision of every title, by time, then by id.
 
-    The newest id is found on narrow columns and joined back, so the text is
-    read once and does not pass through the aggregation.
+    Only the narrow columns are read and shuffled, one row per title and task.
     """
-    newest = pages.groupBy(F.col(title).alias("_title")).agg(
-        F.max(F.struct(timestamp, rev)).alias("_newest")
-    ).select(F.col("_newest")[rev].alias(rev))
-    return pages.join(newest, rev, "left_semi")
+    newest = F.max(F.struct(timestamp, rev)).alias("_newest")
+    return pages.groupBy(title).agg(newest).select(F.col("_newest")[rev].alias(rev))
+
+
+def newest_revision(pages: DataFrame, title: str = "title", timestamp: str = "timestamp", rev: str = "revid") -> DataFrame:
+    """The newest revision of every title; the text does not pass through the aggregation."""
+    return pages.join(newest_ids(pages, title, timestamp, rev), rev, "left_semi")
 
 
 def asked_titles(requests: DataFrame, redirects: DataFrame) -> DataFrame:
@@ -64,7 +66,10 @@ def asked_titles(requests: DataFrame, redirects: DataFrame) -> DataFrame:
 
 def requested_pages(asked: DataFrame, pages: DataFrame) -> DataFrame:
     """The newest revision of every requested title, once each."""
-    return newest_revision(pages.join(asked.select("title").distinct(), "title", "left_semi"))
+    wanted = pages.select("title", "timestamp", "revid").join(
+        asked.select("title").distinct(), "title", "left_semi"
+    )
+    return pages.join(newest_ids(wanted), "revid", "left_semi")
 
 
 def lookup_pages(requests: DataFrame, pages: DataFrame, redirects: DataFrame) -> DataFrame:

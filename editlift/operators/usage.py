@@ -52,18 +52,17 @@ def template_index(df: DataFrame, aliases: DataFrame, text_col: str = "wikitext"
     """Distinct (template, key): which pages embed which template.
 
     ``aliases`` has alias, template; names compare trimmed and in lower case. A
-    name without an alias stands for itself. Duplicates are dropped within each
-    task before the shuffle, so a template on every page sends one row per page.
+    name without an alias stands for itself. Repeats are dropped in the row,
+    and again within each task before the one shuffle.
     """
-    used = _names(df, text_col, key, M.template_names).select(
-        key, M.catalogue_key(F.col("_name")).alias("_used")
-    )
+    cleaned = df.select(key, M.clean(F.col(text_col)).alias("_clean"))
+    names = F.array_distinct(F.transform(M.template_names(F.col("_clean")), M.catalogue_key))
+    used = unnest(cleaned.select(key, names.alias("_all")), key, array="_all", value="_used").select(key, "_used")
     lookup = aliases.groupBy(M.catalogue_key(F.col("alias")).alias("_used")).agg(
         F.min(M.catalogue_key(F.col("template"))).alias("_target")
     )
     return (
-        used.distinct()
-        .join(broadcast_if_small(lookup), "_used", "left")
+        used.join(broadcast_if_small(lookup), "_used", "left")
         .select(F.coalesce("_target", "_used").alias("template"), key)
         .distinct()
     )
