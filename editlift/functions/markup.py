@@ -40,10 +40,11 @@ COORDINATES = "#coordinates"
 
 # Tags whose content is never visible as text.
 INVISIBLE_TAGS = ("gallery", "imagemap", "math", "score", "timeline")
-INVISIBLE = "(?is)" + "|".join(rf"<{t}(?:\s[^<>]*)?>.*?</{t}\s*>" for t in INVISIBLE_TAGS)
+INVISIBLE = rf"(?is)<({'|'.join(INVISIBLE_TAGS)})(?:\s[^<>]*)?>.*?</\1\s*>"
 
 #: Nesting depth up to which templates and links are unwrapped.
 MAX_DEPTH = 40
+USUAL_DEPTH = 3
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -68,14 +69,15 @@ def substitute(text: Column, pattern: str, replacement: str = "", needles: tuple
 def substitute_inward(text: Column, pattern: str, replacement: str, needle: str) -> Column:
     """Replace innermost matches again and again until nothing changes.
 
-    Stops at ``MAX_DEPTH`` rounds; a round that changed nothing makes all later
-    ones a mere comparison.
+    The usual depth is done by a few guarded passes. Only a text that still
+    holds the needle goes on, up to ``MAX_DEPTH`` rounds, where a round that
+    changed nothing makes all later ones a mere comparison.
     """
 
     def fixpoint(t: Column) -> Column:
         start = F.struct(F.lit("").alias("before"), t.alias("now"))
         last = F.aggregate(
-            F.sequence(F.lit(1), F.lit(MAX_DEPTH)),
+            F.sequence(F.lit(1), F.lit(MAX_DEPTH - USUAL_DEPTH)),
             start,
             lambda acc, _: F.when(acc["before"] == acc["now"], acc).otherwise(
                 F.struct(
@@ -86,6 +88,8 @@ def substitute_inward(text: Column, pattern: str, replacement: str, needle: str)
         )
         return F.when(F.contains(t, F.lit(needle)), last["now"]).otherwise(t)
 
+    for _ in range(USUAL_DEPTH):
+        text = substitute(text, pattern, replacement, (needle,))
     return let(text, fixpoint)
 
 

@@ -34,6 +34,9 @@ from pyspark.sql import functions as F
 from editlift.functions.probability import chain_array, median_code, modal_code
 
 
+MAX_CLASSES = 1_000
+
+
 class _OrdinalParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasProbabilityCol, HasParallelism):
     decision = Param(
         Params._dummy(), "decision", "median or mode of the class distribution", TypeConverters.toString
@@ -51,7 +54,7 @@ class _OrdinalParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasProbabili
     def _defaults(self) -> None:
         self._setDefault(
             featuresCol="features", labelCol="label", predictionCol="prediction",
-            probabilityCol="prob", parallelism=4, decision="median", output="both",
+            probabilityCol="prob", parallelism=8, decision="median", output="both",
         )
 
 
@@ -63,7 +66,7 @@ class SequentialOrdinal(_OrdinalParams, Estimator, MLReadable, MLWritable):
 
     @keyword_only
     def __init__(self, *, classifier=None, featuresCol="features", labelCol="label",
-                 predictionCol="prediction", probabilityCol="prob", parallelism=4,
+                 predictionCol="prediction", probabilityCol="prob", parallelism=8,
                  decision="median", output="both") -> None:
         super().__init__()
         self._defaults()
@@ -82,7 +85,10 @@ class SequentialOrdinal(_OrdinalParams, Estimator, MLReadable, MLWritable):
         data = dataset.select(F.col(label).cast("int").alias("_y"), F.col(features).alias("_x"))
         data = data.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            counts = {r["_y"]: r["count"] for r in data.where("_y is not null").groupBy("_y").count().collect()}
+            per_class = data.where("_y is not null").groupBy("_y").count().limit(MAX_CLASSES + 1).collect()
+            if len(per_class) > MAX_CLASSES:
+                raise ValueError(f"{label} has more than {MAX_CLASSES} values; it is no class column")
+            counts = {r["_y"]: r["count"] for r in per_class}
             n_classes = max(counts) + 1
             missing = [k for k in range(n_classes) if not counts.get(k)]
             if n_classes < 2 or missing:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from editlift.functions.markup import catalogue_key
-from editlift.functions.rows import unnest
+from editlift.functions.rows import left_join_many, unnest
 from editlift.functions.titles import bare_template_name
 from editlift.session import LITERAL_MAX_ROWS, broadcast_if_small
 
@@ -40,7 +40,7 @@ def build_catalogue(templates: DataFrame, redirects: DataFrame) -> DataFrame:
         bare_template_name(F.col("to_title")).alias("template"),
         bare_template_name(F.col("from_title")).alias("alias"),
     ).distinct()
-    return names.join(aliases, "template", "left").select("section", "category", "template", "alias")
+    return left_join_many(names, aliases, "template").select("section", "category", "template", "alias")
 
 
 def unnest_catalogue(catalogue: DataFrame, column: str = "value") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from editlift.functions import markup as M
-from editlift.functions.rows import unnest
+from editlift.functions.rows import left_join_many, unnest
 from editlift.functions.titles import strip
 from editlift.session import broadcast_if_small
 
@@ -90,4 +90,4 @@ def category_members(
         strip(F.regexp_replace("_name", "(?i)^Category:", "")).alias("category"), key, title
     ).distinct()
     aliases = redirects.select(F.col("from_title").alias("alias"), F.col("to_title").alias(title)).distinct()
-    return members.join(aliases, title, "left").select("category", key, title, "alias")
+    return left_join_many(members, aliases, title).select("category", key, title, "alias")

@@ -25,11 +25,14 @@ def write_by_label(
     mode: str = "append",
     fmt: str = "json",
     strict: bool = True,
+    compact: bool = False,
 ) -> None:
     """One folder per class. Tasks write what they hold, so nothing is shuffled
     and a large class is spread over many files. ``strict`` fails the job on an
-    unknown class."""
+    unknown class. ``compact`` rebalances first, for fewer and even files: one
+    shuffle, in which a large class is split into partitions of even size."""
     out = df.withColumn(label, known_label(F.col(label))) if strict else df
+    out = out.hint("rebalance", label) if compact else out
     writer = out.write.mode(mode).partitionBy(label)
     if fmt == "json":
         writer = writer.option("compression", "gzip")

@@ -38,6 +38,12 @@ def test_split_by_class_and_back(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(wp10" in text
 
 
+def test_compact_output(spark, tmp_path):
+    path = str(tmp_path / "c")
+    sinks.write_by_label(labeled(spark), path, compact=True)
+    assert readers.read_labeled(spark, path).count() == 30
+
+
 def test_unknown_class_fails(spark, tmp_path):
     df = spark.createDataFrame([(1, "List")], "revid long, wp10 string")
     with pytest.raises(Exception, match="unknown class: List"):
