@@ -12,6 +12,12 @@ CLASSES = ("Stub", "Start", "C", "B", "GA", "FA")
 # Further class labels that pages carry; shown, never predicted.
 DISPLAY_ONLY = ("FL", "List", "Disambig", "Book", "Template", "Category", "Draft", "Redirect")
 
+# What a class is called when shown.
+DISPLAY_NAMES = {
+    "FA": "Featured article", "GA": "Good article", "B": "B-class article", "C": "C-class article",
+    "Start": "Start", "Stub": "Stub",
+}
+
 TOP_CODE = len(CLASSES) - 1
 
 
@@ -38,3 +44,9 @@ def known_label(label: Column) -> Column:
     """The label itself; the job fails on a label outside the six classes."""
     message = F.concat(F.lit("unknown class: "), F.coalesce(label, F.lit("null")))
     return F.when(label.isin(*CLASSES), label).otherwise(F.raise_error(message))
+
+
+def display_name(label: Column) -> Column:
+    """Name of a class for readers; display-only labels stand for themselves."""
+    names = F.create_map(*[F.lit(x) for pair in DISPLAY_NAMES.items() for x in pair])
+    return F.coalesce(F.try_element_at(names, label), F.when(label.isin(*DISPLAY_ONLY), label))

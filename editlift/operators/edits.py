@@ -233,11 +233,20 @@ def gather_edits(ranked: DataFrame, *key: str) -> DataFrame:
     return ranked.groupBy(*key).agg(F.sort_array(F.collect_list(entry)).alias("edits"))
 
 
+def advice_for(edit: Column, edits: tuple[Edit, ...] = EDITS) -> Column:
+    """The wording of an edit for readers."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for e in edits for x in (e.name, e.advice)]), edit)
+
+
 def shown_edits(edits: Column) -> Column:
-    """The edits above the display cut, with their gain in whole percent."""
+    """The edits above the display cut, with their wording and gain in whole percent."""
     return F.transform(
         F.filter(edits, lambda e: e["gain"] > SHOW_ABOVE),
-        lambda e: F.struct(e["edit"].alias("edit"), percent(e["gain"]).alias("gain_pct")),
+        lambda e: F.struct(
+            e["edit"].alias("edit"),
+            advice_for(e["edit"]).alias("advice"),
+            percent(e["gain"]).alias("gain_pct"),
+        ),
     )
 
 

@@ -497,7 +497,7 @@ def w4_ranked_edits(spark, sf):
 @query
 def w5_shown_edits(spark, sf):
     rows = _suggested(spark, sf).select("rev_id", edits.shown_edits(F.col("edits")).alias("edits"))
-    return unnest(rows, "rev_id", array="edits", value="_e").select("rev_id", "_e.*")
+    return unnest(rows, "rev_id", array="edits", value="_e").select("rev_id", "_e.edit", "_e.gain_pct")
 
 
 @query

@@ -65,6 +65,8 @@ def test_percent_is_half_even(spark):
     edits = F.array(*[F.struct(F.lit(n).alias("edit"), F.lit(g).alias("gain")) for n, g in (("a", 0.025), ("b", 0.005), ("c", 0.035))])
     shown = spark.range(1).select(E.shown_edits(edits).alias("e")).first()["e"]
     assert [(s["edit"], s["gain_pct"]) for s in shown] == [("a", 2), ("c", 4)]
+    advice = spark.range(1).select(E.advice_for(F.lit("ref")), E.advice_for(F.lit("none"))).first()
+    assert tuple(advice) == ("Write a footnote", None)
 
 
 def test_projection_leaves_input_alone(spark):

@@ -35,6 +35,11 @@ def test_labels(spark):
     assert [tuple(r) for r in got] == [(0, "Start", "Stub"), (5, None, "FA"), (None, None, None), (None, None, None)]
 
 
+def test_display_names(spark):
+    df = spark.createDataFrame([("GA",), ("List",), ("xyz",)], "l string")
+    assert [r[0] for r in df.select(L.display_name(F.col("l"))).collect()] == ["Good article", "List", None]
+
+
 def test_percent(spark):
     df = spark.createDataFrame([(0.025,), (0.035,), (0.005,), (0.015,)], "p double")
     assert [r[0] for r in df.select(P.percent(F.col("p"))).collect()] == [2, 4, 0, 2]
