@@ -78,12 +78,16 @@ def featurize(
     if literals is not None:
         columns.update(backlog_columns(F.col("_keys"), literals))
         return parts.select(*keep, *[columns[c].alias(c) for c in FEATURES], columns["tables"].alias("tables"))
+    # Counts are taken before the join, so it carries no arrays of the text.
+    own = parts.select(*keep, *[c.alias(name) for name, c in columns.items()])
     hits = backlog_by_join(parts.select(key, "_names"), lookup, "_names", key)
-    joined = parts.join(hits, key, "left")
     for name in COLUMN_OF.values():
         columns[name] = F.coalesce(F.col(name), F.lit(0))
         columns[f"{name}_templates"] = F.col(f"{name}_templates")
-    return joined.select(*keep, *[columns[c].alias(c) for c in FEATURES], columns["tables"].alias("tables"))
+    joined = own.join(hits, key, "left")
+    return joined.select(
+        *keep, *[(columns[c] if c.startswith("backlog_") else F.col(c)).alias(c) for c in (*FEATURES, "tables")]
+    )
 
 
 def model_columns(source: dict[str, Column] | None = None) -> dict[str, Column]:
