@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,11 +32,23 @@ from editlift.llm.common import PIECE_BYTES, pieces, text_or_empty
 #: The pre-token pattern of the public byte-level vocabularies.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: The same on texts of these characters alone, where ``re`` has the same classes and is faster.
+LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+LATIN_TOKEN = rf"'(?:[stmd]|re|ve|ll)| ?[{LATIN}]+| ?[0-9]+| ?[^\s0-9{LATIN}]+|\s+(?!\S)|\s+"
+OTHER = r"[^\x00-\x1b\x20-\x7fÀ-ÖØ-öø-ɏ]"
+
 #: Below this code point all Unicode versions agree on letters, numbers and blanks.
 SETTLED = "՗"
 
 SHIFT = 20
-WORDS_KEPT = 300_000
+
+#: From so many positions on, a rank is applied to all of them as arrays.
+MANY = 128
+
+#: Text whose new pre-tokens share one index.
+INDEX_BYTES = 8 << 20
+#: Pre-tokens whose ids a worker process keeps, over all its tasks.
+WORDS_KEPT = 600_000
 
 
 def byte_symbols() -> list[str]:
@@ -75,6 +88,7 @@ class Vocabulary:
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.pattern = regex.compile(PRE_TOKEN)
         self.unsettled = regex.compile(f"[^\x00-{SETTLED}]")
+        self.latin, self.other = re.compile(LATIN_TOKEN).findall, re.compile(OTHER)
         self._library = None
 
     def pre_tokens(self, text: str) -> list[str]:
@@ -90,6 +104,8 @@ class Vocabulary:
         return out
 
     def _plain(self, text: str) -> list[str]:
+        if not self.other.search(text):
+            return self.latin(text)
         if not self.unsettled.search(text):
             return self.pattern.findall(text)
         if self._library is None:
@@ -107,38 +123,87 @@ class Vocabulary:
         symbols = np.full(starts[-1] + 1, -1, dtype=np.int64)
         symbols[at] = np.array(self.byte_id, dtype=np.int64)[flat]
 
-        pair = np.where((symbols[:-1] >= 0) & (symbols[1:] >= 0), symbols[:-1] << SHIFT | symbols[1:], -1)
-        slot = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1) if len(self.keys) else np.zeros(len(pair), int)
-        places = np.flatnonzero(self.keys[slot] == pair) if len(self.keys) else np.empty(0, int)
-        ranks = self.key_rank[slot[places]] if len(places) else np.empty(0, int)
+        places, ranks = self.mergeable(symbols[:-1], symbols[1:])
         order = np.argsort(ranks, kind="stable")
         ranks, places = ranks[order], places[order]
         cuts = np.flatnonzero(np.diff(ranks)) + 1
         index = {int(r[0]): p.tolist() for r, p in zip(np.split(ranks, cuts), np.split(places, cuts)) if len(r)}
 
-        sym = symbols.tolist()
-        after = list(range(1, len(sym) + 1))
-        before = list(range(-1, len(sym) - 1))
+        afters, befores = np.arange(1, len(symbols) + 1), np.arange(-1, len(symbols) - 1)
+        sym, after, before = memoryview(symbols), memoryview(afters), memoryview(befores)
         active, rank = sorted(index), self.rank
+        find, push = rank.get, heapq.heappush
         while active:
             now = heapq.heappop(active)
             a, b, merged = self.pair[now]
-            for p in sorted(index.pop(now)):
+            places = index.pop(now)
+            if a != b and len(places) >= MANY:
+                p = np.array(places)
+                p = p[symbols[p] == a]
+                p = np.unique(p[symbols[afters[p]] == b])
+                q = afters[p]
+                n, left = afters[q], befores[p]
+                symbols[p], symbols[q], afters[p], befores[n] = merged, -2, n, p
+                at_right, right_ranks = self.mergeable(np.full(len(p), merged), symbols[n])
+                at_left, left_ranks = self.mergeable(symbols[left], np.full(len(p), merged))
+                where = np.concatenate([p[at_right], left[at_left]])
+                found = np.concatenate([right_ranks, left_ranks])
+                order = np.argsort(found, kind="stable")
+                found, where = found[order], where[order].tolist()
+                edges = [0, *(np.flatnonzero(np.diff(found)) + 1).tolist(), len(where)]
+                for start, end in zip(edges, edges[1:]):
+                    if start == end:
+                        continue
+                    r = int(found[start])
+                    if r in index:
+                        index[r] += where[start:end]
+                    else:
+                        index[r] = where[start:end]
+                        push(active, r)
+                continue
+            if a == b:
+                places.sort()  # overlapping pairs are taken from the left
+            for p in places:
+                if sym[p] != a:
+                    continue
                 q = after[p]
-                if sym[p] != a or sym[q] != b:
+                if sym[q] != b:
                     continue
-                n, left = after[q], before[p]
-                sym[p], sym[q], after[p], before[n] = merged, -2, n, p
-                for x, y, where in ((sym[left], merged, left), (merged, sym[n], p)):
-                    if x >= 0 and y >= 0 and (r := rank.get(x << SHIFT | y)) is not None:
+                n = after[q]
+                sym[p] = merged
+                sym[q] = -2
+                after[p] = n
+                before[n] = p
+                x = sym[n]
+                if x >= 0:
+                    r = find(merged << SHIFT | x)
+                    if r is not None:
+                        if r in index:
+                            index[r].append(p)
+                        else:
+                            index[r] = [p]
+                            push(active, r)
+                left = before[p]
+                x = sym[left]
+                if x >= 0:
+                    r = find(x << SHIFT | merged)
+                    if r is not None:
                         if r in index:
-                            index[r].append(where)
+                            index[r].append(left)
                         else:
-                            index[r] = [where]
-                            heapq.heappush(active, r)
-        done = np.array(sym, dtype=np.int64)
-        owner = np.repeat(np.arange(len(words)), lens)[done[at] >= 0]
-        return done[done >= 0], np.bincount(owner, minlength=len(words))
+                            index[r] = [left]
+                            push(active, r)
+        owner = np.repeat(np.arange(len(words)), lens)[symbols[at] >= 0]
+        return symbols[symbols >= 0], np.bincount(owner, minlength=len(words))
+
+    def mergeable(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where a pair has a rank, and the ranks."""
+        if not len(self.keys):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        pair = np.where((first >= 0) & (second >= 0), first << SHIFT | second, -1)
+        slot = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+        places = np.flatnonzero(self.keys[slot] == pair)
+        return places, self.key_rank[slot[places]]
 
 
 @lru_cache(maxsize=4)
@@ -146,6 +211,11 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@lru_cache(maxsize=4)
+def word_store(path: str) -> WordStore:
+    return WordStore(vocabulary(path))
+
+
 def gather(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Places start, start + 1, .. of each run, one run after the other."""
     ends = np.cumsum(length)
@@ -196,8 +266,8 @@ def encode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """(id, ids array<int>): every whole text as the vocabulary at path ``tokenizer`` encodes it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = WordStore(vocabulary(tokenizer))
-        for piece in pieces(batches, "text", PIECE_BYTES):
+        store = word_store(tokenizer)
+        for piece in pieces(batches, "text", INDEX_BYTES):
             ids, edges = store.encode(piece.column(1).to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([piece.column(0), lists], ["id", "ids"])

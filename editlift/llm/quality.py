@@ -36,8 +36,8 @@ LEAST = 200
 SIGNALS = {
     "chars_per_word": (1.0, True),
     "symbols_per_word": (0.1, False),
-    "dup_lines_per_word": (0.02, False),
-    "repeats_per_word": (0.1, False),
+    "dup_lines_per_word": (0.05, False),
+    "repeats_per_word": (0.35, False),
 }
 
 SYMBOLS = b"#*$%&|<>"

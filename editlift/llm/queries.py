@@ -7,12 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from editlift.llm import bpe, quality, urls, warc
+from editlift.llm import bpe, decontam, licenses, minhash, quality, secrets, toxicity, urls, warc
 from editlift.llm.common import table
 from editlift.llm.tokenizers import BYTE_BPE
 from editlift.session import scratch_path
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents lie in folders of source, language and 64 ids; one of few words is a licence file."""
+    docs = table(spark, sf_dir, "documents")
+    short = F.size(F.split(F.coalesce("text", F.lit("")), r"\s+", -1)) <= 40
+    name = F.concat(F.when(short, "LICENSE-").otherwise("doc-"), F.col("doc_id").cast("string"))
+    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 64).cast("string"), name)
+    return licenses.license_scan(docs.select("doc_id", "text", path.alias("path")))
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
+    return secrets.secret_scan(docs, path_col="path")
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(table(spark, sf_dir, "documents"), BYTE_BPE)
     # Decoding reads the encoder's rows; the digests of both are taken in one pass.
@@ -24,6 +38,10 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.digested(table(spark, sf_dir, "pages"))
     path = scratch_path(spark, "archives")
@@ -31,6 +49,20 @@ def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolve_payloads(warc.read_archives(spark, path))
 
 
+def op6_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.fit_chain(docs, table(spark, sf_dir, "labels")).score(docs)
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return leaks.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    )
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -40,5 +72,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_bpe_round_trip, op5_warc_revisits, op8_url_filter, op9_quality_rules)
+    f.__name__: f
+    for f in (
+        op1_license_scan, op2_secret_scan, op3_bpe_round_trip, op4_minhash_dedup, op5_warc_revisits,
+        op6_toxicity_chain, op7_decontamination, op8_url_filter, op9_quality_rules,
+    )
 }
