@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from editlift.llm import bpe, decontam, licenses, minhash, quality, secrets, toxicity, urls, warc
+from editlift.llm import bpe, decontam, licenses, minhash, quality, secrets, substrings, toxicity, urls, warc
 from editlift.llm.common import table
 from editlift.llm.tokenizers import BYTE_BPE
 from editlift.session import scratch_path
@@ -71,10 +71,18 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_secret_scan, op3_bpe_round_trip, op4_minhash_dedup, op5_warc_revisits,
-        op6_toxicity_chain, op7_decontamination, op8_url_filter, op9_quality_rules,
+        op6_toxicity_chain, op7_decontamination, op8_url_filter, op9_quality_rules, op10_repeated_bytes,
     )
 }

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from editlift.llm.common import staged, text_or_empty
 
 LABELLED = 20_000
-VOCABULARY = 50_000
-FOLDS = 3
+VOCABULARY = 20_000
+FOLDS = 2
 
 #: Seed words of each category.
 SEEDS = {
@@ -47,7 +47,7 @@ def words(text: Column) -> Column:
 def trained(features: str, label: str) -> LogisticRegression:
     return LogisticRegression(
         featuresCol=features, labelCol=label, probabilityCol="_prob", rawPredictionCol="_raw", predictionCol="_pred",
-        maxIter=30, regParam=0.003, elasticNetParam=0.9, standardization=False,
+        maxIter=15, regParam=0.003, elasticNetParam=0.9, standardization=False,
     )
 
 
@@ -102,7 +102,7 @@ def fit_chain(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     categories = [*SEEDS, TOXIC]
     if sample.isEmpty():
         return ToxicityChain(None, dict.fromkeys(categories))
-    vocabulary = CountVectorizer(inputCol="words", outputCol="_words", binary=True, minDF=2, vocabSize=VOCABULARY).fit(sample)
+    vocabulary = CountVectorizer(inputCol="words", outputCol="_words", binary=True, minDF=5, vocabSize=VOCABULARY).fit(sample)
     rows = staged(vocabulary.transform(sample).drop("words"), "toxicity-words")
     models: dict[str, Model | None] = {}
     before: list[str] = []
