@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from editlift.llm.common import staged, text_or_empty
 
 LABELLED = 20_000
-VOCABULARY = 20_000
+VOCABULARY = 10_000
 FOLDS = 2
 
 #: Seed words of each category.
@@ -45,9 +45,10 @@ def words(text: Column) -> Column:
 
 
 def trained(features: str, label: str) -> LogisticRegression:
+    """The given label is noisy, so its words are held back more than those of a seeded category."""
     return LogisticRegression(
         featuresCol=features, labelCol=label, probabilityCol="_prob", rawPredictionCol="_raw", predictionCol="_pred",
-        maxIter=15, regParam=0.003, elasticNetParam=0.9, standardization=False,
+        maxIter=15, regParam=0.04 if label == TOXIC else 0.001, elasticNetParam=1.0,
     )
 
 
@@ -69,7 +70,7 @@ class ToxicityChain:
         self.vocabulary, self.models = vocabulary, models
 
     def score(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """(id, p_<category>.., toxic) for every row."""
+        """(id, p_<category>.., toxic) for every row; toxic if any category is more likely than not."""
         rows = df.select(df[id_col].alias("id"), words(text_or_empty(text_col)).alias("words"))
         if self.vocabulary is not None:
             rows = self.vocabulary.transform(rows).drop("words")
@@ -77,7 +78,7 @@ class ToxicityChain:
         for name, model in self.models.items():
             rows = predicted(rows, model, before, f"p_{name}")
             before.append(f"p_{name}")
-        return rows.select(F.col("id").alias(id_col), *(F.round(p, 9).alias(p) for p in before), (F.col(before[-1]) >= 0.5).alias("toxic"))
+        return rows.select(F.col("id").alias(id_col), *(F.round(p, 9).alias(p) for p in before), (F.greatest(*before) >= 0.5).alias("toxic"))
 
 
 def assembled(rows: DataFrame, before: list[str]) -> DataFrame:
@@ -100,6 +101,8 @@ def fit_one(rows: DataFrame, label: str, before: list[str]) -> Model | None:
 def fit_chain(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> ToxicityChain:
     sample = staged(labelled_sample(df, labels, id_col, text_col), "toxicity")
     categories = [*SEEDS, TOXIC]
+    # Copies would lend their label's noise to their words.
+    sample = sample.dropDuplicates(["words"])
     if sample.isEmpty():
         return ToxicityChain(None, dict.fromkeys(categories))
     vocabulary = CountVectorizer(inputCol="words", outputCol="_words", binary=True, minDF=5, vocabSize=VOCABULARY).fit(sample)
