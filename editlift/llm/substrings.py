@@ -54,10 +54,12 @@ MARKS_DDL = "id long, th long, starts binary"
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    """Arrays of equal length and their types, compressed by byte planes."""
+    """Arrays of equal length and their types, compressed; numbers by byte planes, windows as text."""
     head = f"{len(arrays[0])};{','.join(a.dtype.str for a in arrays)};".encode()
-    body = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(head + body)
+    body = b"".join(
+        a.tobytes() if a.dtype.kind == "V" else np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays
+    )
+    return zstandard.ZstdCompressor(level=3).compress(head + body)
 
 
 def unpacked(data: bytes) -> list[np.ndarray]:
@@ -66,6 +68,10 @@ def unpacked(data: bytes) -> list[np.ndarray]:
     n, at, out = int(n), 0, []
     for kind in kinds.decode().split(","):
         size = np.dtype(kind).itemsize
+        if kind[1] == "V":
+            out.append(np.frombuffer(body, kind, n, at))
+            at += n * size
+            continue
         planes = np.frombuffer(body, np.uint8, n * size, at).reshape(size, n)
         out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
         at += n * size
@@ -339,7 +345,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = df.select(df[id_col].cast("long").alias("id"), text_or_empty(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
-    texts = rows.where(F.col("id").isNotNull() & (F.octet_length("text") >= LENGTH)).select("id", "th", "text")
+    # Both joins take the same rows in the same shape, so that texts are dealt out once.
+    texts = rows.where(F.col("id").isNotNull()).select("id", "th", "text")
     answers = texts.mapInArrow(pack_anchors(buckets), PACKED_DDL).groupBy("bucket").applyInArrow(answer, PACKED_DDL)
     shared = answers.groupBy("piece").applyInArrow(to_documents, MARKS_DDL).dropDuplicates(["id", "th"])
     windows = texts.join(shared, ["id", "th"]).select("id", "th", "text", "starts").mapInArrow(
@@ -347,6 +354,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     found = windows.groupBy("bucket").applyInArrow(find_equal, MARKS_DDL)
     marks = found.groupBy("id", "th").agg(F.collect_list("starts").alias("marks"))
-    return rows.join(marks, ["id", "th"], "left").select("id", "text", "marks").mapInArrow(
+    whole = texts.join(marks, ["id", "th"], "left").select("id", "text", "marks")
+    unnamed = rows.where(F.col("id").isNull()).select("id", "text", F.lit(None).cast("array<binary>").alias("marks"))
+    return whole.unionByName(unnamed).mapInArrow(
         cut, "id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
     ).withColumnRenamed("id", id_col)
