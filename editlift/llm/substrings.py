@@ -49,6 +49,8 @@ ANCHORS, SHARED, OWNERS = 0, 1, 2
 
 PACKED = pa.schema([("bucket", pa.int64()), ("piece", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
 PACKED_DDL = "bucket long, piece long, kind int, data binary"
+FOUND = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
+FOUND_DDL = "bucket long, kind int, data binary"
 MARKS = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("starts", pa.binary())])
 MARKS_DDL = "id long, th long, starts binary"
 
@@ -236,8 +238,9 @@ def pack_windows(buckets: int):  # noqa: ANN201
             least[order] = np.repeat(ids[order[starts]], np.diff(np.append(starts, len(order))))
             rows = []
             known = np.flatnonzero(least < ids)
-            for d, part in split_by(owner[known]):
-                rows.append((int(p.hashes[d]) % buckets, int(p.ids[d]), int(p.hashes[d]), SHARED, packed(whole_starts(place[known[part]], len(p.raw[d])))))
+            sizes = np.array([len(r) for r in p.raw])[owner[known]]
+            first, last = np.maximum(place[known] - LEFT, 0), np.minimum(place[known], sizes - LENGTH)
+            rows += marked(buckets, p.ids[owner[known]], p.hashes[owner[known]], first, last)
             # Of one document's equal windows all are sent: each must hear of other documents.
             send = np.flatnonzero(least == ids)
             for b, part in split_by((p.hash[at[send]] % np.uint64(buckets)).astype(np.int64)):
@@ -245,17 +248,20 @@ def pack_windows(buckets: int):  # noqa: ANN201
                 inner = (symbols[k] - np.uint16(1)).astype(np.uint8)  # outside becomes 255, told apart by the two edges
                 before = np.minimum(place[k], LEFT).astype(np.uint8)
                 after = np.minimum(np.array([len(p.raw[o]) for o in owner[k]]) - place[k], LENGTH).astype(np.uint8)
-                rows.append((b, 0, 0, ANCHORS, packed(inner.reshape(-1).view(f"V{WIDTH}"), before, after, p.ids[owner[k]], p.hashes[owner[k]], place[k].astype(np.uint32))))
+                rows.append((b, ANCHORS, packed(inner.reshape(-1).view(f"V{WIDTH}"), before, after, p.ids[owner[k]], p.hashes[owner[k]], place[k].astype(np.uint32))))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["bucket", "id", "th", "kind", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), FOUND)], schema=FOUND)
 
     return run
 
 
-def whole_starts(place: np.ndarray, n_bytes: int) -> np.ndarray:
-    """Starts of the 50-byte strings of windows that lie inside the text."""
-    starts = (place[:, None] - LEFT + np.arange(SPAN)).ravel()
-    return np.unique(starts[(starts >= 0) & (starts <= n_bytes - LENGTH)]).astype(np.uint32)
+def marked(buckets: int, ids: np.ndarray, hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """Rows (bucket of the document, kind, packed) of runs of starts."""
+    whole = np.flatnonzero(first <= last)
+    return [
+        (b, SHARED, packed(ids[k], hashes[k], first[k].astype(np.uint32), last[k].astype(np.uint32)))
+        for b, part in split_by(hashes[whole] % buckets) for k in [whole[part]]
+    ]
 
 
 def column_wise(columns: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -294,27 +300,39 @@ def column_wise(columns: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return found
 
 
-def find_equal(table: pa.Table) -> pa.Table:
-    """(id, th, starts) of the strings of a bucket that an earlier document has."""
-    kinds, data = table["kind"].to_pylist(), table["data"].to_pylist()
-    rows = [(i, t, d) for i, t, k, d in zip(table["id"].to_pylist(), table["th"].to_pylist(), kinds, data) if k == SHARED]
-    parts = [unpacked(d) for d, k in zip(data, kinds) if k == ANCHORS]
-    if parts:
-        inner, before, after, ids, hashes, place = (np.concatenate(c) for c in zip(*parts))
-        columns = inner.view(np.uint8).reshape(-1, WIDTH).T.astype(np.uint16) + np.uint16(1)
-        at = np.arange(WIDTH)[:, None] - LEFT
-        columns[(at < -before.astype(np.int64)) | (at >= after.astype(np.int64))] = 0
-        found = column_wise(columns, ids)
-        start, window = np.nonzero(found)
-        if len(window):
-            starts = (place[window].astype(np.int64) - LEFT + start).astype(np.uint32)
-            # A document is named by its id and the hash of its text.
-            _, document = np.unique(np.stack([ids, hashes], axis=1), axis=0, return_inverse=True)
-            for _, part in split_by(document.ravel()[window]):
-                w = window[part[0]]
-                rows.append((int(ids[w]), int(hashes[w]), packed(np.unique(starts[part]))))
-    if not rows:
-        return MARKS.empty_table()
+def find_equal(buckets: int):  # noqa: ANN201
+    def run(table: pa.Table) -> pa.Table:
+        """Rows for the documents' buckets: runs of starts whose strings an earlier document has."""
+        kinds, data = table["kind"].to_pylist(), table["data"].to_pylist()
+        home = table["bucket"].to_pylist()
+        rows = [(b, k, d) for b, k, d in zip(home, kinds, data) if k == SHARED]
+        parts = [unpacked(d) for d, k in zip(data, kinds) if k == ANCHORS]
+        if parts:
+            inner, before, after, ids, hashes, place = (np.concatenate(c) for c in zip(*parts))
+            columns = inner.view(np.uint8).reshape(-1, WIDTH).T.astype(np.uint16) + np.uint16(1)
+            at = np.arange(WIDTH)[:, None] - LEFT
+            columns[(at < -before.astype(np.int64)) | (at >= after.astype(np.int64))] = 0
+            edged = np.zeros((len(ids), SPAN + 2), dtype=np.int8)
+            edged[:, 1:-1] = column_wise(columns, ids).T
+            step = np.diff(edged, axis=1)
+            window, first = np.nonzero(step > 0)
+            last = np.nonzero(step < 0)[1] - 1
+            origin = place[window].astype(np.int64) - LEFT
+            rows += marked(buckets, ids[window], hashes[window], origin + first, origin + last)
+        if not rows:
+            return FOUND.empty_table()
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), FOUND)], schema=FOUND)
+
+    return run
+
+
+def by_document(table: pa.Table) -> pa.Table:
+    """(id, th, runs) of a bucket of documents; a document is named by its id and the hash of its text."""
+    ids, hashes, first, last = (np.concatenate(c) for c in zip(*map(unpacked, table["data"].to_pylist())))
+    order = np.lexsort((first, hashes, ids))
+    ids, hashes, first, last = ids[order], hashes[order], first[order], last[order]
+    edges = [0, *(np.flatnonzero((np.diff(ids) != 0) | (np.diff(hashes) != 0)) + 1).tolist(), len(ids)]
+    rows = [(int(ids[a]), int(hashes[a]), packed(first[a:b], last[a:b])) for a, b in zip(edges, edges[1:])]
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), MARKS)], schema=MARKS)
 
 
@@ -330,10 +348,10 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 spans.append([])
                 kept.append(raw)
                 continue
-            starts = np.unique(np.concatenate([unpacked(m)[0] for m in marks])).astype(np.int64)
-            apart = np.flatnonzero(np.diff(starts) > LENGTH)
-            first = starts[np.concatenate([[0], apart + 1])]
-            last = starts[np.append(apart, len(starts) - 1)] + LENGTH
+            begin, last = (x.astype(np.int64) for x in unpacked(marks))
+            reach = np.maximum.accumulate(last + LENGTH)
+            apart = np.flatnonzero(begin[1:] > reach[:-1])
+            first, last = begin[np.concatenate([[0], apart + 1])], reach[np.append(apart, len(reach) - 1)]
             spans.append([{"start": a, "end": b} for a, b in zip(first.tolist(), last.tolist())])
             edges = [0, *(x for ab in zip(first.tolist(), last.tolist()) for x in ab), len(raw)]
             kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])))
@@ -349,13 +367,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = rows.where(F.col("id").isNotNull()).select("id", "th", "text")
     answers = texts.mapInArrow(pack_anchors(buckets), PACKED_DDL).groupBy("bucket").applyInArrow(answer, PACKED_DDL)
     shared = answers.groupBy("piece").applyInArrow(to_documents, MARKS_DDL).dropDuplicates(["id", "th"])
-    windows = texts.join(shared, ["id", "th"]).select("id", "th", "text", "starts").mapInArrow(
-        pack_windows(buckets), "bucket long, id long, th long, kind int, data binary"
-    )
-    found = windows.groupBy("bucket").applyInArrow(find_equal, MARKS_DDL)
-    marks = found.groupBy("id", "th").agg(F.collect_list("starts").alias("marks"))
-    whole = texts.join(marks, ["id", "th"], "left").select("id", "text", "marks")
-    unnamed = rows.where(F.col("id").isNull()).select("id", "text", F.lit(None).cast("array<binary>").alias("marks"))
+    windows = texts.join(shared, ["id", "th"]).select("id", "th", "text", "starts").mapInArrow(pack_windows(buckets), FOUND_DDL)
+    found = windows.groupBy("bucket").applyInArrow(find_equal(buckets), FOUND_DDL)
+    marks = found.groupBy("bucket").applyInArrow(by_document, MARKS_DDL)
+    whole = texts.join(marks, ["id", "th"], "left").select("id", "text", "starts")
+    unnamed = rows.where(F.col("id").isNull()).select("id", "text", F.lit(None).cast("binary").alias("starts"))
     return whole.unionByName(unnamed).mapInArrow(
         cut, "id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
     ).withColumnRenamed("id", id_col)
