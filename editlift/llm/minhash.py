@@ -175,6 +175,13 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
+def in_common(sets: DataFrame) -> DataFrame:
+    """(h, common): how many shingles of a set other sets of the table have too."""
+    own = sets.select("h", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("k"), F.min("h").alias("h")).where("k = 1")
+    alone = own.groupBy("h").agg(F.count("*").alias("alone"))
+    return sets.select("h", F.size("shingles").alias("size")).join(alone, "h", "left").select("h", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of (u, v) reaches."""
     both = staged(edges.select("u", "v").union(edges.select(F.col("v"), F.col("u"))).where("u <> v").distinct(), "links")
@@ -225,9 +232,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     placed = shared.select("band", "h", "rep", "n").join(roots, F.col("rep") == F.col("node"), "left").select("band", "h", "n", F.coalesce("root", "rep").alias("root"))
     counted = placed.groupBy("band", "root").agg(F.count("*").alias("k"))
     main = counted.groupBy("band").agg(F.max(F.struct("k", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("band", F.col("main.root").alias("main"))
-    apart = staged(placed.join(main, "band"), "apart")
-    rest = apart.where("root <> main").select("band", F.col("h").alias("g"), F.col("n").alias("m"), F.col("root").alias("other"))
-    crossed = apart.join(rest, "band").where((F.col("root") != F.col("other")) & ((F.col("root") == F.col("main")) | (F.col("h") < F.col("g"))) & close(F.col("n"), F.col("m")))
+    # A pair has no more in common than either set shares with any other set, which bounds its Jaccard.
+    apart = staged(placed.join(main, "band").join(in_common(sets), "h"), "apart")
+    rest = apart.where("root <> main").select("band", F.col("h").alias("g"), F.col("n").alias("m"), F.col("root").alias("other"), F.col("common").alias("common_g"))
+    most = F.least("common", "common_g")
+    reachable = 100 * most >= percent * (F.col("n") + F.col("m") - most)
+    crossed = apart.join(rest, "band").where((F.col("root") != F.col("other")) & ((F.col("root") == F.col("main")) | (F.col("h") < F.col("g"))) & reachable)
     fresh = crossed.select(*pair(F.col("h"), F.col("g"))).distinct().join(pairs, ["a", "b"], "left_anti")
     more = staged(verified(fresh, sets, percent), "verified")
     if not more.isEmpty():
