@@ -103,7 +103,7 @@ def ratio(name: str) -> Column:
         "chars_per_word": "word_chars", "symbols_per_word": "n_symbols",
         "dup_lines_per_word": "n_dup_lines", "repeats_per_word": "n_repeat_words",
     }[name]
-    return F.col(top) / F.col("n_words")
+    return F.try_divide(F.col(top), F.col("n_words"))
 
 
 def base_failed() -> Column:
