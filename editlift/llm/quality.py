@@ -155,11 +155,12 @@ def judge(rows: DataFrame, groups: int = 2, least: int = LEAST) -> DataFrame:
     # Coarser groups are merged sketches; the finest with enough documents counts.
     chosen = bounds(sketch, keys)
     for depth in range(groups - 1, -1, -1):
-        outer = bounds(sketch, keys[:depth]).select(*keys[:depth], *(F.col(c).alias(f"outer_{c}") for c in ["n", *limits]))
+        outer = bounds(sketch, keys[:depth])
         if depth:
-            joined = chosen.join(outer, keys[:depth])
+            joined = chosen.join(outer.select(*keys[:depth], *(F.col(c).alias(f"outer_{c}") for c in ["n", *limits])), keys[:depth])
         else:
-            joined = chosen.withColumn("_all", F.lit(1)).join(outer.withColumn("_all", F.lit(1)), "_all")
+            row = outer.first()  # the one row for all documents
+            joined = chosen.select("*", *(F.lit(row[c] if row else None).cast("double").alias(f"outer_{c}") for c in ["n", *limits]))
         enough = F.col("n") >= least
         chosen = joined.select(
             *keys, F.when(enough, F.col("n")).otherwise(F.col("outer_n")).alias("n"),
