@@ -17,8 +17,15 @@ K = len(CLASSES)
 
 
 def confusion_counts(df: DataFrame) -> DataFrame:
-    """(actual, pred, n) of the pairs that occur."""
-    return df.groupBy("actual", "pred").agg(F.count("*").alias("n"))
+    """(actual, pred, n) of the pairs that occur; a pair with a null or unknown code counts nowhere."""
+    known = F.col("actual").between(0, K - 1) & F.col("pred").between(0, K - 1)
+    return df.where(known).groupBy("actual", "pred").agg(F.count("*").alias("n"))
+
+
+def unknown_pairs(df: DataFrame) -> DataFrame:
+    """One row: how many pairs the metrics leave out for a null or unknown code."""
+    known = F.col("actual").between(0, K - 1) & F.col("pred").between(0, K - 1)
+    return df.agg(F.count_if(~F.coalesce(known, F.lit(False))).alias("unknown"))
 
 
 def class_grid(counts: DataFrame) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Scans: ndjson, csv and catalogue files with a declared schema."""
+"""Scans: ndjson, csv and catalogue files with a declared schema.
+
+Malformed input raises when it is read; no row of nulls stands for it.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +18,7 @@ from editlift.sources import schemas
 
 def read_ndjson(spark: SparkSession, path: str | list[str], schema: str = schemas.REVISION) -> DataFrame:
     """Lines of JSON, plain or gzip. A gzip file is one split, so few of them are spread."""
-    return spread(spark.read.schema(schema).json(path))
+    return spread(spark.read.schema(schema).option("mode", "FAILFAST").json(path))
 
 
 def read_labeled_one(spark: SparkSession, path: str) -> DataFrame:
@@ -33,20 +36,20 @@ def read_labeled(spark: SparkSession, path: str) -> DataFrame:
 
 def read_featurized_csv(spark: SparkSession, path: str, schema: str = schemas.FEATURIZED) -> DataFrame:
     """Featurized revisions from csv with a header; ``revid`` stays a column."""
-    rows = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+    rows = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
     return rows.withColumn("code", label_code(F.col("wp10")))
 
 
 def read_class_counts(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
     """(class, articles) from csv; lines that start with # are comments."""
-    reader = spark.read.schema(schemas.CLASS_COUNTS).option("comment", "#").option("header", header)
+    reader = spark.read.schema(schemas.CLASS_COUNTS).option("comment", "#").option("header", header).option("mode", "FAILFAST")
     return reader.csv(path)
 
 
 def read_catalogue(spark: SparkSession, path: str, whole_file: bool = True) -> DataFrame:
     """The nested maintenance catalogue as a map column ``value``: one per file, or per line."""
     text = spark.read.text(path, wholetext=whole_file)
-    return text.select(F.from_json("value", CATALOGUE_SCHEMA).alias("value"))
+    return text.select(F.from_json("value", CATALOGUE_SCHEMA, {"mode": "FAILFAST"}).alias("value"))
 
 
 def concat(*frames: DataFrame) -> DataFrame:

@@ -71,3 +71,12 @@ def test_confusion_is_whole(df, pairs):
     for r in V.confusion_matrix(df).collect():
         total = sum(r[f"p{k}"] for k in range(6))
         assert total == pytest.approx(1.0) or (r["actual"] == 2 and total == 0)
+
+
+def test_unknown_codes_count_nowhere(spark):
+    from editlift.operators import evaluation
+
+    df = spark.createDataFrame([(1, 1), (2, 2), (None, 3), (3, None), (9, 1)], "actual int, pred int")
+    row = evaluation.hit_rates(df).first()
+    assert (row.exact_hit, row.ordinal_hit, row.ordinal_score) == (1.0, 1.0, 1.0)
+    assert evaluation.unknown_pairs(df).first().unknown == 3

@@ -124,3 +124,13 @@ def test_shared_dir_from_the_session(spark):
     assert shared_dir(spark)
     before = spark.conf.get("spark.checkpoint.dir", None)
     assert before is None or shared_dir(spark) == before
+
+
+def test_malformed_input_raises(spark, tmp_path):
+    from editlift.sources import readers
+
+    (tmp_path / "a.ndjson").write_text('{"revid": 1}\n{broken\n')
+    (tmp_path / "c.json").write_text("{broken")
+    for read in (lambda: readers.read_ndjson(spark, str(tmp_path / "a.ndjson")), lambda: readers.read_catalogue(spark, str(tmp_path / "c.json"))):
+        with pytest.raises(Exception, match="MALFORMED|malformed|Malformed"):
+            read().collect()
