@@ -8,7 +8,8 @@ them that a pair at the threshold is missed with a chance below ``MISS``.
 Texts of equal shingle sets are one class. In each band the members are
 compared with three hubs of the band, so that a band of any size gives three pairs per member. What
 the verified links leave apart inside a band is then compared in full: every
-member outside the band's largest component with the members of other components. So no link
+member outside the band's largest component with the members of other components, where parity
+sketches of the sets first rule out pairs that are provably too far apart. So no link
 is lost, and within a large group of copies pairs are not expanded. Every link is
 confirmed on the full sets. Components follow by spreading the smallest id with pointer jumping,
 each round written to the shared folder.
@@ -27,7 +28,7 @@ from math import ceil, log
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,6 +45,9 @@ PICKED = 500_000
 CHUNK = 1 << 16
 WORDS_KEPT = 500_000
 
+#: 64-bit words of a parity sketch.
+PARITY_WORDS = 16
+
 
 def bands_for(percent: int, rows: int = ROWS) -> int:
     return ceil(log(MISS) / log(1 - (percent / 100) ** rows))
@@ -144,8 +148,17 @@ def signed(df: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """One bit per bucket of shingles: whether their number is odd.
+
+    Two sets differ in at least as many shingles as their sketches in bits.
+    """
+    counts = np.bincount((shingles >> np.uint64(32)) % np.uint64(64 * PARITY_WORDS), minlength=64 * PARITY_WORDS)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def named_sets(texts: DataFrame, width: int) -> DataFrame:
-    """(h, shingles) where the name follows from the set itself."""
+    """(h, shingles, sketch) where the name follows from the set itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
@@ -155,13 +168,13 @@ def named_sets(texts: DataFrame, width: int) -> DataFrame:
                 edges = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
                 lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate(sets).view(np.int64), pa.int64()))
                 names = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), lists], ["h", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), lists, pa.array([parity(s).tolist() for s in sets], pa.list_(pa.int64()))], ["h", "shingles", "sketch"])
 
-    return texts.mapInArrow(run, "h binary, shingles array<long>")
+    return texts.mapInArrow(run, "h binary, shingles array<long>, sketch array<long>")
 
 
 def picked_sets(rows: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(h, shingles) of the texts of the given ids, which are read again; staged."""
+    """(h, shingles, sketch) of the texts of the given ids, which are read again; staged."""
     texts = rows.join(broadcast_if_small(ids.select(F.col("rep").alias("id")), PICKED), "id", "left_semi").select("text")
     return staged(named_sets(texts, width).dropDuplicates(["h"]), "sets")
 
@@ -175,11 +188,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def in_common(sets: DataFrame) -> DataFrame:
-    """(h, common): how many shingles of a set other sets of the table have too."""
-    own = sets.select("h", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("k"), F.min("h").alias("h")).where("k = 1")
-    alone = own.groupBy("h").agg(F.count("*").alias("alone"))
-    return sets.select("h", F.size("shingles").alias("size")).join(alone, "h", "left").select("h", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
+def may_reach(n: Column, sketch: Column, m: Column, other: Column, percent: int) -> Column:
+    """False where the sketches prove that the Jaccard similarity of two sets of sizes n and m is below the threshold."""
+    apart = sum((F.bit_count(sketch[k].bitwiseXOR(other[k])) for k in range(1, PARITY_WORDS)), F.bit_count(sketch[0].bitwiseXOR(other[0])))
+    return (100 + percent) * apart <= (100 - percent) * (n + m)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -232,12 +244,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     placed = shared.select("band", "h", "rep", "n").join(roots, F.col("rep") == F.col("node"), "left").select("band", "h", "n", F.coalesce("root", "rep").alias("root"))
     counted = placed.groupBy("band", "root").agg(F.count("*").alias("k"))
     main = counted.groupBy("band").agg(F.max(F.struct("k", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("band", F.col("main.root").alias("main"))
-    # A pair has no more in common than either set shares with any other set, which bounds its Jaccard.
-    apart = staged(placed.join(main, "band").join(in_common(sets), "h"), "apart")
-    rest = apart.where("root <> main").select("band", F.col("h").alias("g"), F.col("n").alias("m"), F.col("root").alias("other"), F.col("common").alias("common_g"))
-    most = F.least("common", "common_g")
-    reachable = 100 * most >= percent * (F.col("n") + F.col("m") - most)
-    crossed = apart.join(rest, "band").where((F.col("root") != F.col("other")) & ((F.col("root") == F.col("main")) | (F.col("h") < F.col("g"))) & reachable)
+    # Sketches rule out what is too far apart, so that few pairs but links leave the join.
+    apart = staged(placed.join(main, "band").join(sets.select("h", "sketch"), "h"), "apart")
+    rest = apart.where("root <> main").select("band", F.col("h").alias("g"), F.col("n").alias("m"), F.col("root").alias("other"), F.col("sketch").alias("sketch_g"))
+    once = (F.col("root") != F.col("other")) & ((F.col("root") == F.col("main")) | (F.col("h") < F.col("g")))
+    crossed = apart.join(rest, "band").where(once & close(F.col("n"), F.col("m")) & may_reach(F.col("n"), F.col("sketch"), F.col("m"), F.col("sketch_g"), percent))
     fresh = crossed.select(*pair(F.col("h"), F.col("g"))).distinct().join(pairs, ["a", "b"], "left_anti")
     more = staged(verified(fresh, sets, percent), "verified")
     if not more.isEmpty():
