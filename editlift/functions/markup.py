@@ -42,8 +42,7 @@ COORDINATES = "#coordinates"
 INVISIBLE_TAGS = ("gallery", "imagemap", "math", "score", "timeline")
 INVISIBLE = rf"(?is)<({'|'.join(INVISIBLE_TAGS)})(?:\s[^<>]*)?>.*?</\1\s*>"
 
-#: Nesting depth up to which templates and links are unwrapped.
-MAX_DEPTH = 40
+#: Nesting depth done by plain passes; deeper texts go on until nothing changes.
 USUAL_DEPTH = 3
 
 
@@ -70,21 +69,21 @@ def substitute_inward(text: Column, pattern: str, replacement: str, needle: str)
     """Replace innermost matches again and again until nothing changes.
 
     The usual depth is done by a few guarded passes. Only a text that still
-    holds the needle goes on, up to ``MAX_DEPTH`` rounds, where a round that
-    changed nothing makes all later ones a mere comparison.
+    holds the needle goes on, with as many rounds at hand as it has needles, since
+    each round that changes it takes one at least; after the first that changes
+    nothing, a flag ends the work.
     """
 
+    def one_round(acc: Column) -> Column:
+        fresh = F.regexp_replace(acc["now"], pattern, replacement)
+        return let(fresh, lambda t: F.struct(t.alias("now"), (t == acc["now"]).alias("done")))
+
     def fixpoint(t: Column) -> Column:
-        start = F.struct(F.lit("").alias("before"), t.alias("now"))
+        needles = F.length(t) - F.length(F.replace(t, F.lit(needle), F.lit("")))
         last = F.aggregate(
-            F.sequence(F.lit(1), F.lit(MAX_DEPTH - USUAL_DEPTH)),
-            start,
-            lambda acc, _: F.when(acc["before"] == acc["now"], acc).otherwise(
-                F.struct(
-                    acc["now"].alias("before"),
-                    F.regexp_replace(acc["now"], pattern, replacement).alias("now"),
-                )
-            ),
+            F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(needles / len(needle)).cast("int"))),
+            F.struct(t.alias("now"), F.lit(False).alias("done")),
+            lambda acc, _: F.when(acc["done"], acc).otherwise(one_round(acc)),
         )
         return F.when(F.contains(t, F.lit(needle)), last["now"]).otherwise(t)
 

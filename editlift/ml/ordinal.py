@@ -12,6 +12,7 @@ from pyspark import StorageLevel, keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import (
     HasFeaturesCol,
@@ -218,11 +219,18 @@ class _ModelReader(MLReader):
         return instance
 
 
-def as_scorer(model):
-    """A fitted pipeline as a scorer of edits: adds its probability array only."""
+def as_scorer(model, column: str | None = None):
+    """A fitted pipeline as a scorer of edits: adds its class probabilities as an array.
+
+    They are taken from ``column``, an array or a vector; by default from ``prob`` of an
+    ordinal model, else from ``probability`` of a multi-class one.
+    """
 
     def score(df: DataFrame, out: str) -> DataFrame:
         scored = model.transform(df)
-        return scored.select(*df.columns, F.col("prob").alias(out))
+        name = column or ("prob" if "prob" in scored.columns else "probability")
+        vector = isinstance(scored.schema[name].dataType, VectorUDT)
+        prob = vector_to_array(F.col(name)) if vector else F.col(name)
+        return scored.select(*df.columns, prob.alias(out))
 
     return score

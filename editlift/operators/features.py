@@ -39,8 +39,11 @@ def featurize(
     """The row with all feature columns; existing columns of these names are replaced.
 
     A maintenance lookup of bounded size is folded into the expressions, so the
-    whole step is one narrow projection. A larger one is joined on ``key``.
+    whole step is one narrow projection. A larger one is joined. Both count a
+    hit once, also where the lookup repeats a row; keys may repeat or be null.
     """
+    if lookup is not None:
+        lookup = lookup.select("name", "section").distinct()
     literals = {} if lookup is None else lookup_literals(lookup)
     keep = [c for c in df.columns if c not in FEATURES and c != "tables"]
     source = text_col
@@ -79,12 +82,15 @@ def featurize(
         columns.update(backlog_columns(F.col("_keys"), literals))
         return parts.select(*keep, *[columns[c].alias(c) for c in FEATURES], columns["tables"].alias("tables"))
     # Counts are taken before the join, so it carries no arrays of the text.
-    own = parts.select(*keep, *[c.alias(name) for name, c in columns.items()])
-    hits = backlog_by_join(parts.select(key, "_names"), lookup, "_names", key)
+    # A row is told by its key and text; equal rows have equal hits.
+    row = F.concat_ws(":", F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit("-")), F.xxhash64(source))
+    own = parts.select(*keep, *[c.alias(name) for name, c in columns.items()], row.alias("_row"))
+    hits = backlog_by_join(parts.select(row.alias("_row"), "_names").dropDuplicates(["_row"]), lookup, "_names", "_row")
     for name in COLUMN_OF.values():
-        columns[name] = F.coalesce(F.col(name), F.lit(0))
+        # A null text has null counts, as in the literal form.
+        columns[name] = F.when(F.col("templates").isNotNull(), F.coalesce(F.col(name), F.lit(0)))
         columns[f"{name}_templates"] = F.col(f"{name}_templates")
-    joined = own.join(hits, key, "left")
+    joined = own.join(hits, "_row", "left")
     return joined.select(
         *keep, *[(columns[c] if c.startswith("backlog_") else F.col(c)).alias(c) for c in (*FEATURES, "tables")]
     )

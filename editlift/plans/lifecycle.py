@@ -27,11 +27,11 @@ from editlift.sources.sinks import write_by_label
 
 
 def build_training_set(
-    pages: DataFrame, labels: DataFrame, lookup: DataFrame | None, path: str, mode: str = "append"
+    pages: DataFrame, labels: DataFrame, lookup: DataFrame | None, path: str, mode: str = "errorifexists"
 ) -> None:
     """Page records and labels to featurized revisions, one folder per class.
 
-    Only the label join shuffles.
+    Only the label join shuffles. An existing set is not added to unless ``mode`` says so.
     """
     revisions = attach_labels(page_revisions(pages), labels)
     write_by_label(featurize(revisions, "wikitext", lookup, key="revid"), path, mode=mode)

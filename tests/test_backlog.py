@@ -23,6 +23,22 @@ def test_literals_and_join_agree(spark, sf, monkeypatch):
     assert b.where("rev_id = 2").first()["backlog_style_templates"] is None
 
 
+def test_repeated_and_null_keys_and_repeated_names(spark, monkeypatch):
+    lookup = spark.createDataFrame([("n1", "Style"), ("n1", "Style"), ("n2", "Style"), ("n3", "Accuracy")], "name string, section string")
+    rows = [(1, "{{n1}} {{n2}}"), (1, "{{n3}}"), (None, "{{n1}}"), (None, "{{n1}}"), (2, None)]
+    text = spark.createDataFrame(rows, "rev_id long, wikitext string")
+    counts = ("rev_id", "backlog_style", "backlog_style_templates", "backlog_accuracy", "backlog_accuracy_templates")
+    a = features.featurize(text, "wikitext", lookup).select(*counts)
+    monkeypatch.setattr(features, "lookup_literals", lambda _: None)
+    b = features.featurize(text, "wikitext", lookup).select(*counts)
+    key = lambda r: tuple(str(x) for x in r)
+    expected = [(1, 2, "n1 n2", 0, None), (1, 0, None, 1, "n3"), (None, 1, "n1", 0, None), (None, 1, "n1", 0, None)]
+    for got in (a, b):
+        with_text = [tuple(r) for r in got.collect() if r["rev_id"] != 2]
+        assert sorted(with_text, key=key) == sorted(expected, key=key)
+    assert a.count() == b.count() == 5 and a.exceptAll(b).count() == 0
+
+
 def test_large_lookup_is_not_folded(spark):
     lookup = spark.range(50).select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("name"), F.lit("Style").alias("section"))
     assert backlog.lookup_literals(lookup, max_rows=49) is None

@@ -102,9 +102,15 @@ def test_plain_text(spark, raw, plain):
     assert spark.createDataFrame([(raw,)], "t string").select(M.plain_text(F.col("t"))).first()[0] == plain
 
 
-def test_nesting_as_deep_as_forty(spark):
-    deep = "a" + "{{x|" * 40 + "}}" * 40 + "b"
-    assert spark.createDataFrame([(deep,)], "t string").select(M.plain_text(F.col("t"))).first()[0] == "ab"
+@pytest.mark.parametrize("depth", [1, 3, 4, 40, 45, 150])
+def test_nesting_of_any_depth(spark, depth):
+    texts = [
+        ("a" + "{{x|" * depth + "}}" * depth + "b", "ab"),
+        ("[[x|" * depth + "a" + "]]" * depth, "a"),
+        ("{{" + "a {{b}} " * depth + "c", "{{" + "a  " * depth + "c"),
+    ]
+    got = spark.createDataFrame(texts, "t string, e string").select(M.plain_text(F.col("t")).alias("t"), "e").collect()
+    assert [r["t"] for r in got] == [r["e"] for r in got]
 
 
 def test_long_text_needs_no_stack(spark):

@@ -74,6 +74,13 @@ def test_fitted_model_scores_edits(rows, fitted):
     assert [c["class"] for c in results["classes"]] == ["FA", "GA", "B", "C", "Start", "Stub"]
 
 
+def test_multiclass_model_scores_edits(rows):
+    score = as_scorer(multiclass_model("forest").fit(rows))
+    assert all(len(r["p"]) == 6 and abs(sum(r["p"]) - 1) < 1e-9 for r in score(rows, "p").limit(20).collect())
+    ranked = rank_edits(score_edits(rows, score, "rev_id"), "rev_id")
+    assert ranked.count() > 0 and ranked.where("gain <= 0").count() == 0
+
+
 def test_exact_split(spark):
     df = spark.range(1000).select(F.col("id").alias("rev_id"), F.when(F.col("id") < 700, 0).when(F.col("id") < 997, 1).alias("code"))
     both = df.unionByName(df)
