@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from editlift.functions.titles import is_blank, talk_title
-from editlift.session import reliable_checkpoint
+from editlift.session import broadcast_if_small, reliable_checkpoint
 
 
 def follow_redirects(df: DataFrame, redirects: DataFrame, title: str = "title", out: str = "title") -> DataFrame:
@@ -65,11 +65,13 @@ def asked_titles(requests: DataFrame, redirects: DataFrame) -> DataFrame:
 
 
 def requested_pages(asked: DataFrame, pages: DataFrame) -> DataFrame:
-    """The newest revision of every requested title, once each."""
-    wanted = pages.select("title", "timestamp", "revid").join(
-        asked.select("title").distinct(), "title", "left_semi"
-    )
-    return pages.join(newest_ids(wanted), "revid", "left_semi")
+    """The newest revision of every requested title, once each.
+
+    Few titles and ids are broadcast, so that the text of the pages is not shuffled.
+    """
+    titles = broadcast_if_small(asked.select("title").distinct())
+    wanted = pages.select("title", "timestamp", "revid").join(titles, "title", "left_semi")
+    return pages.join(broadcast_if_small(newest_ids(wanted)), "revid", "left_semi")
 
 
 def lookup_pages(requests: DataFrame, pages: DataFrame, redirects: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from editlift.functions.rows import unnest
+from editlift.session import broadcast_if_small
 
 PAGE_FIELDS = ("id", "title", "namespace", "redirect")
 USER_FIELDS = ("id", "text")
@@ -49,8 +50,11 @@ def page_revisions(pages: DataFrame) -> DataFrame:
 
 
 def attach_labels(revisions: DataFrame, labels: DataFrame, rev: str = "revid", label_seq: str = "seq") -> DataFrame:
-    """Inner join with the label of each revision id; the last label of an id wins."""
-    last = labels.groupBy("rev_id").agg(F.max_by("wp10", label_seq).alias("wp10"))
+    """Inner join with the label of each revision id; the last label of an id wins.
+
+    Few labels are broadcast, so that the text of the revisions is not shuffled.
+    """
+    last = broadcast_if_small(labels.groupBy("rev_id").agg(F.max_by("wp10", label_seq).alias("wp10")))
     plain = revisions.drop("wp10")
     if rev == "rev_id":
         return plain.join(last, "rev_id")

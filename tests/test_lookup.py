@@ -1,5 +1,8 @@
+from pyspark.sql import functions as F
+
 from editlift.operators import lookup as K
 from editlift.operators import talk, usage
+from editlift.sources.dump import attach_labels
 
 
 def test_closure_of_chains_and_cycles(spark):
@@ -81,3 +84,26 @@ def test_usage(spark):
     members = usage.category_members(df, redirects)
     assert sorted(tuple(r) for r in members.collect()) == [("X", 7, "T", "T old"), ("X", 7, "T", "T2")]
     assert usage.image_links(df).count() == 2 and usage.category_links(df).count() == 4
+
+
+def test_few_titles_or_labels_do_not_shuffle_the_text(spark, tmp_path):
+    pages = spark.range(100).select(
+        F.col("id").alias("revid"), F.concat(F.lit("t"), (F.col("id") % 10).cast("string")).alias("title"),
+        F.timestamp_seconds("id").alias("timestamp"), F.repeat(F.lit("x"), 50).alias("content"),
+    )
+    pages.write.parquet(str(tmp_path / "pages"))
+    stored = spark.read.parquet(str(tmp_path / "pages"))
+    asked = spark.createDataFrame([("t3",), ("t3",), ("t7",)], "title string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = K.requested_pages(asked, stored)
+        labels = spark.createDataFrame([(5, "GA", 1), (5, "FA", 2)], "rev_id long, wp10 string, seq long")
+        labelled = attach_labels(stored, labels)
+        for df in (found, labelled):
+            joins = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in joins and "ShuffledHashJoin" not in joins
+        assert sorted(r["revid"] for r in found.collect()) == [93, 97]
+        assert [(r["revid"], r["wp10"]) for r in labelled.collect()] == [(5, "FA")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
