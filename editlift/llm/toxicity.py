@@ -29,6 +29,8 @@ from editlift.llm.common import staged, text_or_empty
 LABELLED = 20_000
 VOCABULARY = 10_000
 FOLDS = 2
+#: Tasks of a training pass. The sample is bounded, so they are as well; with four a pass sums up in one stage.
+FIT_TASKS = 4
 
 #: Seed words of each category.
 SEEDS = {
@@ -92,10 +94,18 @@ def predicted(rows: DataFrame, model: Model | None, before: list[str], out: str)
     return scored.withColumn(out, vector_to_array("_prob")[1]).drop("_features", "_prob", "_raw", "_pred")
 
 
-def fit_one(rows: DataFrame, label: str, before: list[str]) -> Model | None:
-    if rows.select(label).distinct().count() < 2:
-        return None
-    return trained("_features", label).fit(assembled(rows, before))
+def fit_one(rows: DataFrame, label: str, before: list[str]) -> Model:
+    return trained("_features", label).fit(assembled(rows.coalesce(FIT_TASKS), before))
+
+
+def folds_of_both_kinds(rows: DataFrame, categories: list[str]) -> dict[str, set[int]]:
+    """For each category the folds outside which it has both kinds of rows; ``FOLDS`` stands for no fold left out."""
+    counts = rows.groupBy("fold").agg(*(F.sum(c).alias(c) for c in categories), F.count("*").alias("n")).collect()
+    kept = {k: [row for row in counts if row["fold"] != k] for k in range(FOLDS + 1)}
+    return {
+        c: {k for k, rest in kept.items() if 0 < sum(row[c] for row in rest) < sum(row["n"] for row in rest)}
+        for c in categories
+    }
 
 
 def fit_chain(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> ToxicityChain:
@@ -107,16 +117,18 @@ def fit_chain(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
         return ToxicityChain(None, dict.fromkeys(categories))
     vocabulary = CountVectorizer(inputCol="words", outputCol="_words", binary=True, minDF=5, vocabSize=VOCABULARY).fit(sample)
     rows = staged(vocabulary.transform(sample).drop("words"), "toxicity-words")
+    fits = folds_of_both_kinds(rows, categories)
     models: dict[str, Model | None] = {}
     before: list[str] = []
     for name in categories:
-        models[name] = fit_one(rows, name, before)
+        models[name] = fit_one(rows, name, before) if FOLDS in fits[name] else None
         if name == TOXIC:
             break
         folds = []
         for k in range(FOLDS):
             own = rows.where(F.col("fold") == k)
-            folds.append(predicted(own, fit_one(rows.where(F.col("fold") != k), name, before), before, f"p_{name}"))
+            model = fit_one(rows.where(F.col("fold") != k), name, before) if k in fits[name] else None
+            folds.append(predicted(own, model, before, f"p_{name}"))
         whole = folds[0]
         for f in folds[1:]:
             whole = whole.unionByName(f)
