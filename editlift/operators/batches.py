@@ -2,8 +2,10 @@
 
 An id is cut into three digits. Ids are counted per leading digits, and each
 level of counts is summed up within the level above, so no window holds more
-than 2^22 narrow rows, whatever the ids look like. The result does not depend
-on the partitioning, so a task that runs again gives the same numbers.
+than 2^22 narrow rows, whatever the ids look like. Where the ids lie close
+together the last digit is made shorter, by their smallest and largest, so that
+they still fill many windows. The result does not depend on the digits or the
+partitioning, so a task that runs again gives the same numbers.
 """
 
 from __future__ import annotations
@@ -12,13 +14,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DIGIT = 22
+#: Windows that ids in a short range are dealt over: between this power of two and half of it.
+WINDOWS = 10
+
+
+def last_digit(smallest: int | None, largest: int | None) -> int:
+    """Bits of the last digit for ids in a range."""
+    if smallest is None or largest is None:
+        return DIGIT
+    return min(DIGIT, max(0, (largest - smallest).bit_length() - WINDOWS))
 
 
 def global_rank(df: DataFrame, id_col: str, out: str = "rank") -> DataFrame:
     """Distinct ids with their rank from 0 in ascending order."""
     ids = df.select(F.col(id_col).cast("long").alias("_id")).where(F.col("_id").isNotNull()).distinct()
+    bounds = df.agg(F.min(F.col(id_col).cast("long")).alias("low"), F.max(F.col(id_col).cast("long")).alias("high")).first()
     cut = ids.select(
-        "_id", F.shiftright("_id", DIGIT).alias("_mid"), F.shiftright("_id", 2 * DIGIT).alias("_top")
+        "_id", F.shiftright("_id", last_digit(bounds["low"], bounds["high"])).alias("_mid"), F.shiftright("_id", 2 * DIGIT).alias("_top")
     ).repartition("_top", "_mid")
 
     per_mid = cut.groupBy("_top", "_mid").agg(F.count("*").alias("_n"))

@@ -204,6 +204,12 @@ def score_edits(df: DataFrame, scorer: Scorer, *keep: str, edits: tuple[Edit, ..
     base = scorer(df.select(*keep, *RAW_COLUMNS), "_base_prob").select(
         *keep, *RAW_COLUMNS, expected_code(F.col("_base_prob"), n).alias("base_score")
     )
+    return score_variants(base, scorer, *keep, edits=edits)
+
+
+def score_variants(base: DataFrame, scorer: Scorer, *keep: str, edits: tuple[Edit, ...] = EDITS) -> DataFrame:
+    """As ``score_edits``, of rows that carry their own ``base_score``."""
+    n = len(CLASSES)
     variants = edit_variants(base, *keep, "base_score", with_unchanged=False, edits=edits)
     return (
         scorer(variants, "prob")
@@ -212,6 +218,27 @@ def score_edits(df: DataFrame, scorer: Scorer, *keep: str, edits: tuple[Edit, ..
     )
 
 
+def suggest_fitted(scored: DataFrame, scorer: Scorer, *key: str, edits: tuple[Edit, ...] = EDITS) -> DataFrame:
+    """(key, prob, score, best, edits) of rows from ``score_revisions``, for a fitted scorer.
+
+    What the row's own score gave travels with its sixteen narrow variants, so the input
+    is read and scored once, and one aggregation per key brings both together.
+    """
+    own = F.struct("prob", "score", "best").alias("_own")
+    base = scored.select(*key, *RAW_COLUMNS, F.col("score").alias("base_score"), own)
+    entry = F.struct((-F.col("gain")).alias("loss"), "edit_no", "edit")
+    gathered = (
+        score_variants(base, scorer, *key, "_own", edits=edits)
+        .groupBy(*key)
+        .agg(F.first("_own").alias("_own"), F.sort_array(F.collect_list(F.when(F.col("gain") > 0, entry))).alias("_helpful"))
+    )
+    ranked = F.transform(
+        "_helpful",
+        lambda e, i: F.struct((i + 1).alias("rank"), e["edit_no"].alias("edit_no"), e["edit"].alias("edit"), (-e["loss"]).alias("gain")),
+    )
+    return gathered.select(*key, "_own.*", ranked.alias("edits"))
+
+
 def rank_edits(scored: DataFrame, *key: str, min_gain: float = 0.0, top: int | None = None) -> DataFrame:
     """Edits that help, best first per row; equal gains in catalogue order.
 

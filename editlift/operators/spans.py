@@ -12,8 +12,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from editlift.functions.rows import unnest
+
 BLOCK = 1 << 16
 
+#: A token is a run of letters and digits or any other visible character; runs of blanks lie between.
+BLANK = r"[ \t\n\x0B\f\r]+"
+TOKEN_OR_BLANK = r"[\p{L}\p{N}]+|[^\p{L}\p{N} \t\n\x0B\f\r]|" + BLANK
+
 
 def running_starts(df: DataFrame, *key: str, length: str, pos: str = "pos", out: str = "start") -> DataFrame:
     """Adds the start offset of each piece: the summed length of those before it."""
@@ -21,6 +27,18 @@ def running_starts(df: DataFrame, *key: str, length: str, pos: str = "pos", out:
     return df.withColumn(out, F.coalesce(F.sum(length).over(before), F.lit(0)))
 
 
+def tokens_of(df: DataFrame, *key: str, text_col: str = "text") -> DataFrame:
+    """(key, tok_start, token): the tokens of a text with their offset in characters.
+
+    Tokens and the blanks between them cover the text, so the offset is a running length. A
+    null or blank text has no tokens. A window holds the narrow rows of one text.
+    """
+    parts = df.select(*key, F.regexp_extract_all(F.col(text_col), F.lit(TOKEN_OR_BLANK), 0).alias("_parts"))
+    rows = unnest(parts, *key, array="_parts", value="token").withColumn("_length", F.length("token"))
+    placed = running_starts(rows, *key, length="_length", out="tok_start")
+    return placed.where(~F.col("token").rlike(f"^{BLANK}")).select(*key, "tok_start", "token")
+
+
 def _filled(tokens: DataFrame, references: DataFrame, key: str, block: int) -> DataFrame:
     """Distinct offsets of both kinds with the last token at or before each
     (``tok``), whether a reference comes next (``ref_next``), and how many

@@ -11,13 +11,11 @@ from editlift.functions.titles import page_url
 from editlift.ml.selection import quality_model, stratified_split
 from editlift.operators.edits import (
     Scorer,
-    gather_edits,
-    rank_edits,
-    score_edits,
     score_revisions,
     shown_classes,
     shown_edits,
     suggest_edits,
+    suggest_fitted,
 )
 from editlift.operators.evaluation import class_report, confusion_matrix, macro_scores
 from editlift.operators.features import RAW_COLUMNS, featurize
@@ -63,9 +61,7 @@ def page_results(
     if hasattr(scorer, "probabilities"):
         rows = suggest_edits(scored, scorer)
     else:
-        edits = gather_edits(rank_edits(score_edits(featurized, scorer, *key), *key), *key)
-        none = F.array().cast("array<struct<rank:int,edit_no:int,edit:string,gain:double>>")
-        rows = scored.join(edits, list(key), "left").withColumn("edits", F.coalesce("edits", none))
+        rows = suggest_fitted(scored, scorer, *key)
     return rows.select(
         *key,
         "best",

@@ -546,6 +546,28 @@ SELECT doc_id AS rev_id, concat(text, chr(10), repeat(chr(10), CAST(doc_id % 4 +
  repeat(' ', CAST(doc_id % 3 + doc_id % 5 AS INT)), repeat('file format the city ', CAST(doc_id % 2 AS INT)),
  repeat(' ', CAST(doc_id % 6 AS INT)), repeat('   ', CAST(doc_id % 4 AS INT)), repeat('e ', CAST(doc_id % 7 AS INT)),
  repeat('     ', CAST(doc_id % 2 AS INT))) AS text FROM documents""")
+TEXT_TOKENS = r"""
+SELECT rev_id, CAST(ahead AS BIGINT) AS tok_start, token FROM (
+ SELECT rev_id, token, coalesce(sum(length(token)) OVER (PARTITION BY rev_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+ FROM (SELECT rev_id, unnest(parts) AS token, unnest(range(len(parts))) AS pos
+  FROM (SELECT rev_id, regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N} \t\n\x0B\f\r]|[ \t\n\x0B\f\r]+') AS parts FROM texts) AS p) AS q) AS r
+WHERE NOT regexp_matches(token, '^[ \t\n\x0B\f\r]')"""
+TEXT_VIEWS = {
+    "texts": ORACLES["t7_clean_text"], "toks": TEXT_TOKENS, "lengths": LENGTHS,
+    "refs": """SELECT rev_id, cites_at + cites + 3 * floor(k / 2) + 2 * (k % 2) AS ref_pos
+ FROM (SELECT *, unnest(range(refs)) AS k FROM lengths) AS r""",
+}
+oracle("j6_text_tokens", "SELECT rev_id, tok_start, token FROM toks", extra=TEXT_VIEWS)
+oracle("j6_flagged_text", """
+SELECT t.rev_id, t.tok_start, EXISTS (SELECT 1 FROM refs r WHERE r.rev_id = t.rev_id AND r.ref_pos >= t.tok_start
+ AND (t.next_start IS NULL OR r.ref_pos < t.next_start)) AS reference
+FROM (SELECT rev_id, tok_start, lead(tok_start) OVER (PARTITION BY rev_id ORDER BY tok_start) AS next_start FROM toks) AS t""",
+       extra=TEXT_VIEWS)
+oracle("j7_text_references", """
+SELECT r.rev_id, CAST(r.ref_pos AS BIGINT) AS ref_pos, r.n_refs, max(t.tok_start) AS tok_start
+FROM (SELECT rev_id, ref_pos, count(*) AS n_refs FROM refs GROUP BY rev_id, ref_pos) AS r
+LEFT JOIN toks t ON t.rev_id = r.rev_id AND t.tok_start <= r.ref_pos
+GROUP BY r.rev_id, r.ref_pos, r.n_refs""", extra=TEXT_VIEWS)
 oracle("t8_node_rules", """
 SELECT rev_id, kind, name, piece FROM revisions_fx CROSS JOIN (VALUES
  ('heading', NULL, NULL, 4), ('heading', NULL, NULL, 3), ('image', 'File:a.png', NULL, 3), ('category', 'Category:Things', NULL, 5),

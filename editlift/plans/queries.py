@@ -325,6 +325,27 @@ def j7_reference_tokens(spark, sf):
     return spans.token_of_reference(*_tokens(spark, sf))
 
 
+def _text_with_references(spark, sf):
+    rows = revisions(spark, sf)
+    tokens = spans.tokens_of(cleantext.clean_text(rows, "rev_id"), "rev_id")
+    return tokens, cleantext.reference_offsets(rows, "rev_id").withColumnRenamed("offset", "ref_pos")
+
+
+@query
+def j6_text_tokens(spark, sf):
+    return _text_with_references(spark, sf)[0]
+
+
+@query
+def j6_flagged_text(spark, sf):
+    return spans.flag_tokens(*_text_with_references(spark, sf), key="rev_id")
+
+
+@query
+def j7_text_references(spark, sf):
+    return spans.token_of_reference(*_text_with_references(spark, sf), key="rev_id")
+
+
 @query
 def j8_template_pages(spark, sf):
     aliases = fx.load(spark, sf, fx.BACKLOG)

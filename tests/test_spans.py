@@ -58,3 +58,29 @@ def test_running_starts(spark):
     df = spark.createDataFrame([(1, 0, 3), (1, 1, 0), (1, 2, 4), (2, 0, 5)], "rev_id long, pos int, length int")
     got = {(r["rev_id"], r["pos"]): r["start"] for r in spans.running_starts(df, "rev_id", length="length").collect()}
     assert got == {(1, 0): 0, (1, 1): 3, (1, 2): 3, (2, 0): 0}
+
+
+def test_close_ids_fill_many_windows(spark):
+    assert batches.last_digit(None, None) == batches.DIGIT
+    assert batches.last_digit(0, 2**62) == batches.DIGIT
+    assert batches.last_digit(7, 7) == 0
+    ids = list(range(1_000_000, 1_030_000, 3))
+    df = spark.createDataFrame([(i,) for i in ids], "id long")
+    digit = batches.last_digit(min(ids), max(ids))
+    assert len({i >> digit for i in ids}) > 400
+    got = {r["id"]: r["rank"] for r in batches.global_rank(df, "id").collect()}
+    assert got == {i: n for n, i in enumerate(ids)}
+
+
+def test_rank_of_no_ids(spark):
+    df = spark.createDataFrame([(None,)], "id long")
+    assert batches.global_rank(df, "id").count() == 0
+
+
+def test_tokens_cover_the_text(spark):
+    texts = {1: "Caf\u00e9s  are 2nd.\n(x)", 2: "  \t", 3: "", 4: None, 5: "\U0001f600 a"}
+    df = spark.createDataFrame(list(texts.items()), "rev_id long, text string")
+    rows = spans.tokens_of(df, "rev_id").orderBy("rev_id", "tok_start").collect()
+    assert [r["token"] for r in rows if r["rev_id"] == 1] == ["Caf\u00e9s", "are", "2nd", ".", "(", "x", ")"]
+    assert {r["rev_id"] for r in rows} == {1, 5}
+    assert all(texts[r["rev_id"]][r["tok_start"]:].startswith(r["token"]) for r in rows)
