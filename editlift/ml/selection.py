@@ -154,3 +154,10 @@ def random_search(
         seed=seed,
     )
     return search.fit(train)
+
+
+def best_classifier(search: CrossValidatorModel, classifier: Estimator) -> Estimator:
+    """The searched classifier with the setting of the best mean over folds."""
+    pick = max if search.getEvaluator().isLargerBetter() else min
+    best = pick(range(len(search.avgMetrics)), key=search.avgMetrics.__getitem__)
+    return classifier.copy(search.getEstimatorParamMaps()[best])

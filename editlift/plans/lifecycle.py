@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.ml import Estimator, PipelineModel
+from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from editlift.functions.labels import label_code
 from editlift.functions.titles import page_url
-from editlift.ml.selection import quality_model, stratified_split
+from editlift.ml.selection import best_classifier, quality_model, random_search, stratified_split
 from editlift.operators.edits import (
     Scorer,
     score_revisions,
@@ -17,7 +18,7 @@ from editlift.operators.edits import (
     suggest_edits,
     suggest_fitted,
 )
-from editlift.operators.evaluation import class_report, confusion_matrix, macro_scores
+from editlift.operators.evaluation import class_report, confusion_matrix, hit_rates, log_loss, macro_scores
 from editlift.operators.features import RAW_COLUMNS, featurize
 from editlift.operators.lookup import asked_titles, requested_pages
 from editlift.sources.dump import attach_labels, page_revisions
@@ -36,21 +37,40 @@ def build_training_set(
 
 
 def train_and_evaluate(
-    featurized: DataFrame, classifier: Estimator | None = None, id_col: str = "revid", seed: int = 1
+    featurized: DataFrame,
+    classifier: Estimator | None = None,
+    id_col: str = "revid",
+    seed: int = 1,
+    search: dict | None = None,
 ) -> tuple[PipelineModel, dict[str, DataFrame]]:
-    """Holdout tables from an 80/20 split, and the final model fitted on all rows."""
+    """Holdout tables from an 80/20 split, and the final model fitted on all rows.
+
+    ``search``, if given, holds arguments of ``random_search`` (an empty one its defaults):
+    the setting with the best mean over folds of the training part is used from there on.
+    The narrow rows are kept until the last fit, so the text is featurized once; the
+    holdout pairs stay persisted for the tables.
+    """
     data = featurized.withColumn("code", label_code(F.col("wp10"))).where(F.col("code").isNotNull())
-    data = data.select(id_col, "code", *RAW_COLUMNS)
+    data = data.select(id_col, "code", *RAW_COLUMNS).persist()
     split = stratified_split(data, "code", id_col, seed=seed)
+    train = split.where("is_train")
+    if search is not None:
+        base = classifier or GBTClassifier(seed=seed)
+        classifier = best_classifier(random_search(train, classifier=base, **search), base)
     model = quality_model(classifier)
-    held = model.fit(split.where("is_train")).transform(split.where(~F.col("is_train")))
-    pairs = held.select(F.col("code").alias("actual"), F.col("prediction").cast("int").alias("pred"))
+    held = model.fit(train).transform(split.where(~F.col("is_train")))
+    pairs = held.select(F.col("code").alias("actual"), F.col("prediction").cast("int").alias("pred"), "prob").persist()
+    pairs.count()
     tables = {
         "class_report": class_report(pairs),
         "macro_scores": macro_scores(pairs),
         "confusion_matrix": confusion_matrix(pairs),
+        "hit_rates": hit_rates(pairs),
+        "log_loss": log_loss(pairs),
     }
-    return model.fit(data), tables
+    final = model.fit(data)
+    data.unpersist()
+    return final, tables
 
 
 def page_results(

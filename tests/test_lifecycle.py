@@ -3,7 +3,9 @@ from pyspark.sql import functions as F
 
 from editlift import fixtures as fx
 from editlift.ml.linear import linear_scorer
+from editlift.ml.selection import draw_settings
 from editlift.operators.backlog import flatten_catalogue
+from editlift.operators.features import featurize
 from editlift.plans.lifecycle import answer_requests, build_training_set, train_and_evaluate
 from editlift.sources.readers import read_labeled
 
@@ -25,9 +27,21 @@ def test_records_to_model(spark, sf, tmp_path):
     assert rows.count() == 200 and rows.where("words is null or code is null").count() == 0
     model, tables = train_and_evaluate(rows, LogisticRegression(maxIter=5, regParam=0.01))
     assert tables["class_report"].count() == 6
+    assert 0 < tables["hit_rates"].first()["exact_hit"] <= 1 and tables["log_loss"].first()["log_loss"] > 0
     assert model.transform(rows).where("prediction is null").count() == 0
 
 
+def test_search_within_training(spark, sf):
+    rows = fx.load(spark, sf, fx.REVISIONS).withColumnRenamed("rev_id", "revid")
+    featurized = featurize(rows, "wikitext", None, key="revid")
+    search = {"space": {"maxIter": [0, 8]}, "n": 4, "folds": 2, "seed": 1}
+    model, _ = train_and_evaluate(featurized, LogisticRegression(regParam=0.01), search=search)
+    drawn = {s["maxIter"] for s in draw_settings(search["space"], 4, 1)}
+    assert drawn == {0, 8}
+    kept = [m.getMaxIter() for m in model.stages[-1].models]
+    assert kept and set(kept) == {8}
+
+
 def test_requests(spark):
     pages = spark.createDataFrame(
         [(1, 10, "A", "2018-01-01T00:00:00Z", "short"), (2, 10, "A", "2018-02-01T00:00:00Z", "== H ==\n{{POV}} [[x]] text")],

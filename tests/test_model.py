@@ -8,7 +8,7 @@ from editlift.functions.labels import label_code
 from editlift.ml.ordinal import SequentialOrdinal, as_scorer
 from editlift.ml.projection import ModelProjection
 from editlift.ml.selection import LogLossEvaluator, draw_settings, hash_split, multiclass_model, quality_model, random_search, stratified_split
-from editlift.operators.edits import rank_edits, score_edits
+from editlift.operators.edits import rank_edits, score_edits, score_revisions, suggest_fitted
 from editlift.operators.features import RAW_COLUMNS, featurize
 from editlift.plans.lifecycle import page_results, train_and_evaluate
 
@@ -74,6 +74,18 @@ def test_fitted_model_scores_edits(rows, fitted):
     assert [c["class"] for c in results["classes"]] == ["FA", "GA", "B", "C", "Start", "Stub"]
 
 
+def test_results_of_a_fitted_model_in_one_pass(rows, fitted):
+    scorer = as_scorer(fitted)
+    gathered = suggest_fitted(score_revisions(rows, scorer), scorer, "rev_id").cache()
+    assert gathered.count() == rows.count()
+    ranked = rank_edits(score_edits(rows, scorer, "rev_id"), "rev_id")
+    longer = gathered.select("rev_id", F.explode("edits").alias("e")).select("rev_id", "e.rank", "e.edit_no", "e.edit", "e.gain")
+    ranked = ranked.select("rev_id", "rank", "edit_no", "edit", "gain")
+    assert longer.exceptAll(ranked).count() == 0 and ranked.exceptAll(longer).count() == 0
+    own = score_revisions(rows, scorer).select("rev_id", "score", "best")
+    assert own.exceptAll(gathered.select("rev_id", "score", "best")).count() == 0
+
+
 def test_multiclass_model_scores_edits(rows):
     score = as_scorer(multiclass_model("forest").fit(rows))
     assert all(len(r["p"]) == 6 and abs(sum(r["p"]) - 1) < 1e-9 for r in score(rows, "p").limit(20).collect())
