@@ -217,6 +217,25 @@ def test_licenses_and_inheritance(spark):
     assert licenses.license_scan(df.limit(0)).count() == 0
 
 
+def test_licenses_in_prose_and_wrapped_headers(spark):
+    prose = "we wrote this small tool over some years and it does nothing of note"
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n"
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */\n"
+    apache = "// Licensed under the Apache License, Version 2.0\n"
+    texts = [
+        (f"{prose} Released under the MIT License. {prose}", "MIT"), (f"{prose} Licensed under the Apache License, Version 2.0. {prose}", "Apache-2.0"),
+        (gpl + "import os\n" * 50, "GPL-3.0"), (gpl.replace("version 3", "version 2"), "GPL-2.0"), (mpl + "int main() {}\n", "MPL-2.0"),
+        ("Copyright (c) 2020 Jane Doe. All rights reserved.", "proprietary"), ("# SPDX-License-Identifier: MIT\nx = 1", "MIT"),
+        ("// SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), ("SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"),
+        ("SPDX-License-Identifier: Nobody-1.0", None), (f"{prose} no license {prose} under the terms of {prose}", None), (apache + prose, "Apache-2.0"),
+    ]
+    whole = [(p.stem, p.read_text()) for p in sorted(licenses.TEXTS.glob("*.txt"))]
+    texts += [(f"Copyright (c) 2021, A. N. Other\nAll rights reserved.\n\n{text}", name) for name, text in whole]
+    df = spark.createDataFrame([(k, None, t) for k, (t, _) in enumerate(texts)], "doc_id long, path string, text string")
+    got = {r.doc_id: r.license for r in licenses.license_scan(df).collect()}
+    assert [got[k] for k in range(len(texts))] == [name for _, name in texts]
+
+
 def test_secrets(spark):
     key = lambda k: hashlib.sha1(str(k).encode()).hexdigest()
     rows = [(k, f'some words token = "{key(k)}" and more words here') for k in range(60)]
