@@ -3,9 +3,9 @@
 Candidates are runs of 16 and more token characters with a digit among them. A
 random forest on length, character transitions, dictionary coverage, path and
 neighbouring words removes false findings. It is trained from labelled findings: given ones, or,
-without any, findings of a bounded sample of documents labelled by
+without any, a bounded sample of the findings labelled by
 ``audited``, which knows a secret by what it is assigned to. The dictionary are the
-words that several documents of that sample share.
+words that several of all documents share.
 Everything is DataFrame functions and Spark ML.
 
 Cases: null or empty text has no findings. Texts of any length are cut in one linear
@@ -34,9 +34,10 @@ ODD_PATH = r"(?i)(^|/)(test|tests|example|examples|sample|docs?)/"
 CONFIG_PATH = r"(?i)(\.(env|ini|cfg|conf|ya?ml|toml|properties)|config[^/]*)$"
 MARK = "<SECRET>"
 
-#: Bounds of what the forest is fitted on.
-LABELLED_DOCUMENTS = 5_000
+#: Bound of what the forest is fitted on.
 LABELLED_FINDINGS = 20_000
+#: Words of candidates that are broadcast.
+FEW_WORDS = 200_000
 
 FEATURES = (
     "n_chars", "n_transitions", "transition_rate", "digit_rate", "upper_rate", "distinct_rate", "is_hex", "coverage",
@@ -66,16 +67,27 @@ def audited() -> Column:
     return F.rlike("candidate", F.lit(FIXED_FORMAT)) | (F.rlike("before", F.lit(SECRET_NAME)) & many)
 
 
-def dictionary(sample: DataFrame, text_col: str) -> DataFrame:
-    """Words of three and more letters that at least two texts of the bounded sample share."""
+def runs(candidates: DataFrame) -> DataFrame:
+    """(candidate, word): runs of letters of each distinct candidate."""
+    return candidates.select("candidate").distinct().select("candidate", F.explode(F.regexp_extract_all(F.lower("candidate"), F.lit("[a-z]{3,}"), 0)).alias("word"))
+
+
+def dictionary(df: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
+    """Words of ``wanted`` that at least two texts hold; words of three and more letters, counted once a text over all texts.
+
+    Few wanted words are looked up before counting; for many, counting combines before the shuffle.
+    """
     words = F.explode(F.array_distinct(F.split(F.lower(text_or_empty(text_col)), r"[^\p{L}]+", -1)))
-    return sample.select(words.alias("word")).where(F.length("word") >= 3).groupBy("word").count().where("count > 1").select("word")
+    held = df.select(words.alias("word")).where(F.length("word") >= 3)
+    count = lambda rows: rows.groupBy("word").count().where("count > 1").select("word")
+    if wanted.limit(FEW_WORDS + 1).count() <= FEW_WORDS:
+        return count(held.join(F.broadcast(wanted), "word", "left_semi"))
+    return count(held).join(wanted, "word", "left_semi")
 
 
 def described(found: DataFrame, words: DataFrame) -> DataFrame:
     """Adds the features; coverage is worked out once per distinct candidate."""
-    runs = found.select("candidate").distinct().select("candidate", F.explode(F.regexp_extract_all(F.lower("candidate"), F.lit("[a-z]{3,}"), 0)).alias("word"))
-    covered = runs.join(broadcast_if_small(words, 200_000), "word").groupBy("candidate").agg(F.sum(F.length("word")).alias("covered"))
+    covered = runs(found).join(broadcast_if_small(words, 200_000), "word").groupBy("candidate").agg(F.sum(F.length("word")).alias("covered"))
     n = F.length("candidate").cast("double")
     rate = lambda pattern: F.length(F.regexp_replace("candidate", pattern, "")) / n
     kinds = F.translate(F.regexp_replace(F.regexp_replace(F.regexp_replace("candidate", "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0"), "+/_=-", "#####")
@@ -102,9 +114,11 @@ def secret_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     ``labelled`` has (candidate, before, after, path, is_secret); without it the audited sample is used.
     """
     found = staged(findings(df, id_col, text_col, path_col), "findings")
-    order = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string"))
-    sample = df.select(id_col, text_col).where(F.col(text_col).isNotNull()).orderBy(order).limit(LABELLED_DOCUMENTS)
-    words = staged(dictionary(sample, text_col), "dictionary")
+    candidates = found.select("candidate")
+    if labelled is not None:
+        candidates = candidates.unionByName(labelled.select("candidate"))
+    wanted = staged(runs(candidates).select("word").distinct(), "wanted-words")
+    words = staged(dictionary(df, text_col, wanted), "dictionary")
     scored = described(found, words)
     if labelled is None:
         fit_on = scored.withColumn("is_secret", audited()).dropDuplicates(["candidate"])

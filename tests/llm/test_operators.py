@@ -252,6 +252,21 @@ def test_secrets(spark):
     assert secrets.secret_scan(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("few", [200_000, 3])
+def test_secret_dictionary_of_all_texts(spark, monkeypatch, few):
+    name = lambda k: "word" + "".join(chr(97 + int(x)) for x in str(k))
+    df = spark.range(12_000).select(F.col("id").alias("doc_id"), F.lit("plain text").alias("text"))
+    rare = [(20_000 + 2 * k + j, f"{name(k)} here") for k in range(30) for j in range(2)] + [(30_000, "wordzzz once")]
+    tokens = [(40_000, " ".join(f"{name(k)}-0123456789-abc" for k in range(30)) + " wordzzz-0123456789")]
+    df = df.unionByName(spark.createDataFrame(rare + tokens, "doc_id long, text string"))
+    seen, described = [], secrets.described
+    monkeypatch.setattr(secrets, "FEW_WORDS", few, raising=False)
+    monkeypatch.setattr(secrets, "described", lambda found, words: seen.append(words) or described(found, words))
+    secrets.secret_scan(df)
+    got = {r.word for r in seen[0].collect()}
+    assert {name(k) for k in range(30)} | {"wordzzz"} <= got and "abc" not in got
+
+
 def test_toxicity_on_held_out_texts(spark):
     seeds = [w for s in toxicity.SEEDS.values() for w in s]
     calm = ["river", "stone", "light", "paper", "green", "seven", "cloud", "table"]
