@@ -72,7 +72,7 @@ class SequentialOrdinal(_OrdinalParams, Estimator, MLReadable, MLWritable):
         super().__init__()
         self._defaults()
         kwargs = dict(self._input_kwargs)
-        self.classifier = kwargs.pop("classifier", None) or GBTClassifier(maxIter=20, maxDepth=3, seed=1)
+        self.classifier = kwargs.pop("classifier", None) or GBTClassifier(maxIter=100, maxDepth=3, stepSize=0.1, seed=1)
         self._set(**kwargs)
 
     def copy(self, extra=None):

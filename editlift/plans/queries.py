@@ -799,7 +799,7 @@ def m1_split_counts(spark, sf):
 @query
 def m2_sequential_trees(spark, sf):
     rows = _train(spark, sf)
-    model = quality_model(GBTClassifier(maxIter=5, maxDepth=3, seed=1)).fit(rows)
+    model = quality_model(GBTClassifier(maxIter=100, maxDepth=3, stepSize=0.1, seed=1)).fit(rows)
     return model.transform(rows).select("rev_id", "code", "prediction")
 
 
@@ -829,7 +829,7 @@ def m5_modal_class(spark, sf):
 def m6_probability_output(spark, sf):
     rows = ModelProjection().transform(_train(spark, sf))
     chain = SequentialOrdinal(
-        classifier=LogisticRegression(maxIter=10, regParam=0.01), labelCol="code", output="probability"
+        classifier=LogisticRegression(regParam=0.01), labelCol="code", output="probability"
     )
     return _probs(chain.fit(rows).transform(rows))
 
@@ -838,23 +838,26 @@ def m6_probability_output(spark, sf):
 def m7_persisted_model(spark, sf):
     rows = _train(spark, sf)
     path = scratch_path(spark, "model")
-    quality_model(LogisticRegression(maxIter=10, regParam=0.01)).fit(rows).save(path)
+    quality_model(LogisticRegression(regParam=0.01)).fit(rows).save(path)
     return _probs(PipelineModel.load(path).transform(rows))
 
 
 @query
 def m8_random_search(spark, sf):
     rows = _train(spark, sf)
-    space = {"maxIter": [5, 10, 20], "regParam": [0.001, 0.01, 0.1], "elasticNetParam": [0.0, 0.5]}
-    search = random_search(rows, space=space, n=3, folds=3, classifier=LogisticRegression())
+    search = random_search(rows)
     return search.bestModel.transform(rows).select("rev_id", "code", "prediction")
 
 
 @query
 def m9_multiclass(spark, sf):
     rows = _train(spark, sf)
-    scored = multiclass_model("logistic").fit(rows).transform(rows)
-    return _probs(scored.select("rev_id", vector_to_array("probability").alias("prob")))
+    out = None
+    for kind in ("forest", "logistic"):
+        scored = multiclass_model(kind).fit(rows).transform(rows)
+        probs = _probs(scored.select("rev_id", vector_to_array("probability").alias("prob"))).withColumn("kind", F.lit(kind))
+        out = probs if out is None else out.unionByName(probs)
+    return out
 
 
 @query
