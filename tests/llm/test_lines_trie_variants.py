@@ -49,3 +49,58 @@ def test_line_dedup_as_brute_force(spark, batches, fanout):
 def test_line_dedup_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert lines.dedup_lines(df).count() == 0
+
+
+def brute_variants(rows, min_chars=6, min_count=5, ratio=5):
+    import re
+    import zlib
+
+    counts = {}
+    for i, t in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            w = run.translate(LOWER)
+            h = zlib.crc32(f"{'' if i is None else i}:{w}".encode())
+            if h % 199 == 0:
+                k = h % len(w)
+                w = w[:k] + w[k + 1:]
+            counts[w] = counts.get(w, 0) + 1
+    words = {w: n for w, n in counts.items() if len(w) >= min_chars and n >= min_count}
+
+    def near(a, b):
+        if a == b or abs(len(a) - len(b)) > 1:
+            return False
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) == 1
+        s, t = (a, b) if len(a) < len(b) else (b, a)
+        return any(t[:k] + t[k + 1:] == s for k in range(len(t)))
+
+    out, form = [], {}
+    for w, n in words.items():
+        others = [o for o in words if near(w, o)]
+        best = min(others, key=lambda o: (-words[o], o)) if others else None
+        form[w] = best if best is not None and words[best] >= ratio * n else None
+    for w, n in words.items():
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        f = form[w]
+        out.append((w, f, root, n, sum(near(w, o) for o in words), words[f] if f else None))
+    return sorted(out, key=repr)
+
+
+VARIANT_DOCS = [
+    (1, " ".join(["colour"] * 30 + ["color"] * 3 + ["colours"] * 6 + ["Colourr"] * 5 + ["kolour"] * 5)),
+    (2, "Grüßen grüßen GRÜSSEN " * 6 + "abcdefg abcdefh abcdefi abcdefj " * 5 + "tiebreak tiebreaks tiebraek"),
+    (3, None), (4, ""), (None, "colour colour colour zzzzzz " * 7 + "x" * 5000), (1, "colour tiebreaks " * 5),
+    (5, " ".join(f"word{k}" for k in range(50))), (7, "mainland " * 125 + "mainlandx " * 25 + "Mainlandxy " * 5), (6, "variants variant variantz varianta " * 5 + "variants " * 30),
+] + [(100 + k, "perturbation perturbation something everything") for k in range(400)]
+
+
+def test_spelling_variants_as_brute_force(spark):
+    from editlift.llm import variants
+
+    df = spark.createDataFrame([(i, t, 1) for i, t in VARIANT_DOCS], "doc_id long, text string, word long").repartition(3)
+    got = variants.spelling_variants(df)
+    assert got.columns == ["word", "form", "root", "n", "n_near", "form_n"]
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_variants(VARIANT_DOCS)
+    assert variants.spelling_variants(df.limit(0)).count() == 0
