@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from editlift.llm import bpe, decontam, licenses, lines, minhash, quality, secrets, substrings, toxicity, urls, variants, warc
+from editlift.llm import bpe, decontam, licenses, lines, minhash, quality, secrets, substrings, toxicity, trie, urls, variants, warc
 from editlift.llm.common import table
 from editlift.llm.tokenizers import BYTE_BPE
 from editlift.session import scratch_path
@@ -79,6 +79,11 @@ def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = trie.prefix_trie(trie.rebuilt(table(spark, sf_dir, "conversations")))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -93,6 +98,6 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_license_scan, op2_secret_scan, op3_bpe_round_trip, op4_minhash_dedup, op5_warc_revisits,
         op6_toxicity_chain, op7_decontamination, op8_url_filter, op9_quality_rules, op10_repeated_bytes,
-        op12_spelling_variants, op13_line_dedup,
+        op11_conversation_trie, op12_spelling_variants, op13_line_dedup,
     )
 }

@@ -104,3 +104,69 @@ def test_spelling_variants_as_brute_force(spark):
     assert got.columns == ["word", "form", "root", "n", "n_near", "form_n"]
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_variants(VARIANT_DOCS)
     assert variants.spelling_variants(df.limit(0)).count() == 0
+
+
+def brute_trie(convs):
+    """convs: {conv_id: [(role, text), ...]} -> sorted node rows."""
+    nodes = {}
+    for c, turns in convs.items():
+        for d in range(len(turns) + 1):
+            nodes.setdefault(tuple(turns[:d]), []).append(c)
+    children = {}
+    for key in nodes:
+        if key:
+            children.setdefault(key[:-1], []).append(key)
+
+    def subtree(key):
+        kids = children.get(key, [])
+        leaves = sum(subtree(k)[0] for k in kids) if kids else 1
+        saved = (len(nodes[key]) - 1) * (len(key[-1][1]) if key else 0) + sum(subtree(k)[1] for k in kids)
+        return leaves, saved
+
+    out = []
+    for key, members in nodes.items():
+        leaves, saved = subtree(key)
+        ends = sorted(c for c in members if len(convs[c]) == len(key))
+        out.append((min(members), len(key), min(nodes[key[:-1]]) if key else None, len(members), len(children.get(key, [])), leaves, saved,
+                    hashlib.sha256(",".join(map(str, ends)).encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def conv_rows(convs):
+    rows = []
+    for c, turns in convs.items():
+        rows += [(c, k, r, t, "x") for k, (r, t) in enumerate(turns)]
+    return rows
+
+
+@pytest.mark.parametrize("shards", [1, 3, 7])
+def test_trie_as_brute_force(spark, shards):
+    from editlift.llm import trie
+
+    hot = [("user", "hello there"), ("assistant", "hi, how can I help?")]
+    convs = {k: hot + [("user", f"question {k % 4}")] + ([("assistant", "é" * (k % 3))] if k % 2 else []) for k in range(40)}
+    convs |= {100: hot, 101: hot[:1], 102: [("user", "x" * 5000)], 103: [("assistant", "")], 104: [("", "")], -5: hot + hot}
+    rows = conv_rows(convs) + [(None, 0, "user", "lost", "x"), (105, None, None, None, "x"), (105, 3, "user", "after null", "x")]
+    convs[105] = [("", ""), ("user", "after null")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, depth string").repartition(4)
+    got = trie.prefix_trie(df, shards=shards)
+    got = got.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_trie(convs)
+    assert trie.prefix_trie(df.limit(0)).count() == 0
+
+
+def test_trie_of_rebuilt_conversations(spark):
+    import zlib
+
+    from editlift.llm import trie
+
+    convs = {c: [("user", f"t{c}-{k}") for k in range(c % 7)] for c in [0, 1, 2, 3, 50, 99, 100, 101, 150, 203, 299]}
+    df = spark.createDataFrame(conv_rows(convs), "conv_id long, turn long, role string, text string, depth string")
+    want = {}
+    for c in (c for c in convs if convs[c]):
+        h = zlib.crc32(str(c).encode()) % 6
+        want[c] = convs.get(c - c % 100, [])[:h] + convs[c][h:]
+    got = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in trie.rebuilt(df).collect()}
+    assert got == want
+    nodes = trie.prefix_trie(trie.rebuilt(df), shards=3).select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+    assert sorted((tuple(r) for r in nodes.collect()), key=repr) == brute_trie(want)
