@@ -14,6 +14,15 @@ from editlift.session import spread
 
 SOURCES = ("documents", "labels", "events", "lineitem", "part", "orders")
 
+#: Nesting that grows with the id: templates up to 60 deep, links 10, equal tags and tables 8.
+NESTED = """
+SELECT doc_id AS rev_id, concat(text, chr(10),
+ repeat('{{a|', CAST(doc_id % 60 + 1 AS INT)), 'x', repeat('}}', CAST(doc_id % 60 + 1 AS INT)), ' ',
+ repeat('[[a|', CAST(doc_id % 10 + 1 AS INT)), 'y', repeat(']]', CAST(doc_id % 10 + 1 AS INT)), ' ',
+ repeat('<div>', CAST(doc_id % 8 + 1 AS INT)), 'z', repeat('</div>', CAST(doc_id % 8 + 1 AS INT)), chr(10),
+ repeat(concat('{|', chr(10)), CAST(doc_id % 8 + 1 AS INT)), 'c', chr(10), repeat(concat('|}', chr(10)), CAST(doc_id % 8 + 1 AS INT))) AS wikitext
+FROM documents"""
+
 REVISIONS = """
 SELECT doc_id AS rev_id, doc_id % 97 AS page_id, lang, source,
  CASE CAST(doc_id % 6 AS INT) WHEN 0 THEN 'Stub' WHEN 1 THEN 'Start' WHEN 2 THEN 'C' WHEN 3 THEN 'B' WHEN 4 THEN 'GA' ELSE 'FA' END AS wp10,

@@ -1,7 +1,7 @@
 """Plain text with spans: sections, top-level pieces, rules, offsets.
 
-A section is cut into its top-level pieces by one pattern; nested markup stays
-inside its piece. Rules then say what a piece leaves behind. The text of a
+A section is cut into its top-level pieces by a scan that counts brackets
+(``functions.brackets``), so nested markup of any depth stays inside its piece. Rules then say what a piece leaves behind. The text of a
 revision is put together in the row; only narrow (kind, name, length) rows are
 exploded for the offsets, so no text is shuffled.
 """
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from editlift.functions import markup as M
+from editlift.functions.brackets import top_level_pieces
 from editlift.functions.rows import unnest
 from editlift.functions.titles import strip
 from editlift.operators.spans import running_starts
@@ -24,52 +25,12 @@ ANY_HEADING = r"(?dm)^={1,6}[^=\n][^\n]*={1,6}[ \t]*$"
 # Tags and links that leave nothing, templates that are
 # references, and entities with the character each stands for.
 TAGS_DROPPED = ("table", "img")
-VOID_TAGS = ("br", "hr", "img", "wbr")
 REFERENCE_TEMPLATES = ("ref", "note")
 ENTITIES = {
     "&nbsp;": " ", "&ndash;": "–", "&mdash;": "—", "&lt;": "<", "&gt;": ">",
     "&quot;": '"', "&amp;": "&",
 }
 
-# How deep templates, links, tables and equal tags may nest within a piece.
-NESTING = 12
-
-
-def _nested(opening: str, closing: str, plain: str, depth: int) -> str:
-    """Balanced pair with anything plain or balanced inside.
-
-    The possessive groups run as loops in Java, so long texts need no stack.
-    """
-    inner = f"{opening}(?:{plain})*+{closing}"
-    for _ in range(depth):
-        inner = f"{opening}(?:{plain}|{inner})*+{closing}"
-    return inner
-
-
-_TEMPLATE = _nested(r"\{\{", r"\}\}", r"[^{}]++|\{(?!\{)|\}(?!\})", NESTING)
-_LINK = _nested(r"\[\[", r"\]\]", r"[^\[\]]++|\[(?!\[)|\](?!\])", 4)
-_TABLE = _nested(
-    r"\{\|[^\n]*\n", r"[ \t]*\|\}", r"(?![ \t:]*\{\||[ \t]*\|\}(?!\}))[^\n]*\n", 3
-)
-_REF = r"(?i:<ref(?:\s[^<>]*)?/>|<ref(?:\s[^<>]*)?>(?s:.*?)</ref\s*>)"
-_VOID = rf"(?i:<[a-z][a-z0-9]*(?:\s[^<>]*)?/>|<(?:{'|'.join(VOID_TAGS)})(?:\s[^<>]*)?>)"
-_SAME = r"[^<]++|<(?!/?\1[\s/>])"
-_TAG = (
-    r"(?i:<([a-z][a-z0-9]*)(?:\s[^<>]*)?>(?:"
-    + _SAME
-    + r"|"
-    + _nested(r"<\1(?:\s[^<>]*)?>", r"</\1\s*>", _SAME, 3)
-    + r")*+</\1\s*>)"
-)
-_BRACKET_URL = r"\[(?i:https?|ftp)://[^\[\]\n]*+\]"
-_HEADING_LINE = r"(?<=^|\n)={1,6}[^=\n][^\n]*={1,6}[ \t]*(?=\n|$)"
-_QUOTES = r"'{2,}"
-_TEXT = r"(?:[^{\[<'=\n]++|[\n](?!=)|(?<!\n)(?<!^)=)++"
-PIECE = "|".join(
-    (_TABLE, _TEMPLATE, _REF, _VOID, _TAG, _LINK, _BRACKET_URL, _HEADING_LINE, _QUOTES, _TEXT, r"(?s:.)")
-)
-
-
 @dataclass(frozen=True)
 class Rules:
     """What to keep, remove and strip. Names are compared in lower case; template
@@ -204,9 +165,8 @@ def rendered(kind: Column, name: Column, piece: Column, rules: Rules) -> Column:
     )
 
 
-def section_pieces(section: Column, rules: Rules) -> Column:
-    """Array of (kind, name, raw, piece) of a section, in order."""
-    raw = F.regexp_extract_all(section, F.lit(PIECE), 0)
+def describe_pieces(raw: Column, rules: Rules) -> Column:
+    """Array of (kind, name, raw, piece) of raw top-level pieces, in order."""
 
     def describe(p: Column) -> Column:
         return M.let(
@@ -225,6 +185,12 @@ def section_pieces(section: Column, rules: Rules) -> Column:
     return F.transform(raw, describe)
 
 
+def section_pieces(sections: Column, rules: Rules) -> Column:
+    """Pieces of an array of sections, one section after another: nesting of any depth
+    is matched by the counting scan of ``brackets``."""
+    return describe_pieces(top_level_pieces(sections), rules)
+
+
 def _revision_pieces(df: DataFrame, *key: str, text_col: str, rules: Rules) -> DataFrame:
     """Key and ``_pieces``, the pieces of all kept sections of a revision."""
     cleaned = df.select(*key, M.clean(F.col(text_col)).alias("_clean"))
@@ -232,7 +198,7 @@ def _revision_pieces(df: DataFrame, *key: str, text_col: str, rules: Rules) -> D
         *key,
         F.filter(split_sections(F.col("_clean")), lambda s: keeps_section(s, rules.headings_remove)).alias("_kept"),
     )
-    return kept.select(*key, F.flatten(F.transform("_kept", lambda s: section_pieces(s, rules))).alias("_pieces"))
+    return kept.select(*key, section_pieces(F.col("_kept"), rules).alias("_pieces"))
 
 
 def pieces(df: DataFrame, *key: str, text_col: str = "wikitext", rules: Rules = Rules()) -> DataFrame:

@@ -521,6 +521,12 @@ SELECT rev_id, kind, n FROM (
  UNION ALL SELECT rev_id, 'template', rev_id % 6 + 3 * (rev_id % 2) FROM revisions_fx
  UNION ALL SELECT rev_id, 'ref', 2 * (rev_id % 4) FROM revisions_fx
  UNION ALL SELECT rev_id, 'url', rev_id % 7 FROM revisions_fx) AS k WHERE n > 0""", "revisions_fx")
+# Each kind is one balanced top-level piece, whatever its depth.
+oracle("t3_deep_pieces", """
+SELECT doc_id AS rev_id, 'template' AS kind, CAST(1 AS BIGINT) AS n, CAST(6 * (doc_id % 60 + 1) + 1 AS BIGINT) AS n_chars FROM documents
+UNION ALL SELECT doc_id, 'link', 1, 6 * (doc_id % 10 + 1) + 1 FROM documents
+UNION ALL SELECT doc_id, 'tag', 1, 11 * (doc_id % 8 + 1) + 1 FROM documents
+UNION ALL SELECT doc_id, 'table', 1, 6 * (doc_id % 8 + 1) + 1 FROM documents""")
 oracle("t4_tag_rules", """
 SELECT rev_id, CAST(pos AS INT) AS pos, name, piece FROM revisions_fx CROSS JOIN (VALUES
  (0, 'b', 'x'), (1, 'poem', '<poem>'), (2, 'gallery', NULL)) AS t(pos, name, piece)""", "revisions_fx")

@@ -614,6 +614,12 @@ def t3_pieces(spark, sf):
     return rows.where("kind <> 'text'").groupBy("rev_id", "kind").agg(F.count("*").alias("n"))
 
 
+@query
+def t3_deep_pieces(spark, sf):
+    rows = cleantext.pieces(fx.load(spark, sf, fx.NESTED), "rev_id").where("kind <> 'text'")
+    return rows.groupBy("rev_id", "kind").agg(F.count("*").alias("n"), F.max(F.length("raw")).cast("long").alias("n_chars"))
+
+
 @query
 def t4_tag_rules(spark, sf):
     rev = revisions(spark, sf).withColumn(

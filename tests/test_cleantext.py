@@ -88,3 +88,26 @@ def test_long_piece(spark):
     text = F.concat(F.lit("{{box|"), F.repeat(F.lit("{{a|b}} [[c]] <b>d</b> "), 30_000), F.lit("}}end"))
     df = spark.range(1).select(F.col("id").alias("rev_id"), text.alias("wikitext"))
     assert C.clean_text(df, "rev_id").first()["text"] == " end"
+
+
+@pytest.mark.parametrize("depth", [1, 13, 60, 200])
+def test_pieces_at_any_depth(depth):
+    from editlift.functions.brackets import split_pieces
+
+    text = ("{{a|" * depth + "x" + "}}" * depth + " " + "[[a|" * depth + "y" + "]]" * depth + " " + "<div>" * depth + "z"
+            + "</div>" * depth + "\n" + "{|\n" * depth + "c\n" + "|}\n" * depth)
+    got = split_pieces(text)
+    assert "".join(got) == text
+    assert [p for p in got if p[0] in "{[<"] == [
+        "{{a|" * depth + "x" + "}}" * depth, "[[a|" * depth + "y" + "]]" * depth, "<div>" * depth + "z" + "</div>" * depth,
+        "{|\n" * depth + "c\n" + "|}\n" * (depth - 1) + "|}",
+    ]
+
+
+@pytest.mark.parametrize("text", ["{{open [[x", "}} ]] <b>x", "=a\n=b=\n", "", "<div><div/></div>", "{|\nno close", "x" * 10_000])
+def test_unclosed_markup_stays_text(text):
+    from editlift.functions.brackets import split_pieces
+
+    got = split_pieces(text)
+    assert "".join(got) == text
+    assert not any(len(p) > 1 and p[:2] in ("{{", "[[", "{|") for p in got)
