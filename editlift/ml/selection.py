@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from editlift.functions.probability import log_loss_term
 from editlift.ml.ordinal import SequentialOrdinal
 from editlift.ml.projection import ModelProjection
+from editlift.session import broadcast_if_small
 
 BUCKET_BITS = 16
 MAX_CLASSES = 1_000
@@ -70,6 +71,37 @@ def stratified_split(
     return df.withColumn("is_train", is_train)
 
 
+def stratified_folds(
+    df: DataFrame, k: int = 5, label: str = "code", id_col: str = "rev_id", seed: int = 1, fold_col: str = "fold"
+) -> DataFrame:
+    """Adds ``fold`` in 0..k-1: in each class the ids are ranked in hash order and dealt out in turn,
+    so the folds of a class differ by at most one id.
+
+    No sort of all rows: ids are counted per class and leading hash bits, the counts of the buckets
+    before each one are summed per class (at most 65,536 buckets), and only inside a bucket are ids
+    ranked. Copies of an id share its fold; a null class counts as a class of its own.
+    """
+    y = F.col(label).cast("string")
+    ids = (
+        df.select(y.alias("_y"), F.col(id_col).alias("_id"))
+        .distinct()
+        .withColumn("_h", _hash("_id", seed))
+        .withColumn("_b", F.shiftright("_h", 64 - BUCKET_BITS))
+    )
+    per_bucket = ids.groupBy("_y", "_b").agg(F.count("*").alias("_n"))
+    up_to = Window.partitionBy("_y").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = per_bucket.select(F.col("_y").alias("_oy"), F.col("_b").alias("_ob"), (F.sum("_n").over(up_to) - F.col("_n")).alias("_before"))
+    inside = Window.partitionBy("_y", "_b").orderBy("_h", "_id")
+    ranked = (
+        ids.join(broadcast_if_small(offsets), F.col("_y").eqNullSafe(F.col("_oy")) & (F.col("_b") == F.col("_ob")))
+        .select("_y", "_id", (F.col("_before") + F.row_number().over(inside) - 1).alias("_rank"))
+    )
+    folds = ranked.select(F.col("_y").alias("_fy"), F.col("_id").alias("_fid"), F.pmod("_rank", F.lit(k)).cast("int").alias(fold_col))
+    own = df.drop(fold_col) if fold_col in df.columns else df
+    joined = own.join(folds, y.eqNullSafe(F.col("_fy")) & F.col(id_col).eqNullSafe(F.col("_fid")))
+    return joined.drop("_fy", "_fid")
+
+
 def hash_split(df: DataFrame, id_col: str = "rev_id", train: float = 0.8, seed: int = 1) -> DataFrame:
     """Adds ``is_train`` by a hash bucket alone: near the share, without a shuffle."""
     return df.withColumn("is_train", F.pmod(_hash(id_col, seed), F.lit(10_000)) < int(train * 10_000))
@@ -138,8 +170,9 @@ def random_search(
     parallelism: int = 4,
     seed: int = 1234,
     classifier: Estimator | None = None,
+    id_col: str = "rev_id",
 ) -> CrossValidatorModel:
-    """Cross-validated choice among random draws by log loss."""
+    """Cross-validated choice among random draws by log loss, over folds stratified by class."""
     base = classifier or GBTClassifier(seed=seed)
     model = quality_model(base, label=label)
     maps = [
@@ -150,10 +183,11 @@ def random_search(
         estimatorParamMaps=maps,
         evaluator=LogLossEvaluator(labelCol=label),
         numFolds=folds,
+        foldCol="_fold",
         parallelism=parallelism,
         seed=seed,
     )
-    return search.fit(train)
+    return search.fit(stratified_folds(train, folds, label=label, id_col=id_col, seed=seed, fold_col="_fold"))
 
 
 def best_classifier(search: CrossValidatorModel, classifier: Estimator) -> Estimator:

@@ -636,6 +636,12 @@ oracle("p7_percent", "SELECT event_id, CAST(round_even(CAST(event_id % 400 AS DO
 oracle("m1_split_counts", f"""
 SELECT code, count(*) AS n, CAST(floor(count(*) * CAST(0.8 AS DOUBLE)) AS BIGINT) AS n_train
 FROM (SELECT {code_of('wp10')} AS code FROM mixed_fx) AS c GROUP BY code""", "mixed_fx")
+# Ids of a class dealt out in turn: the first n % 5 folds hold one more.
+oracle("m1_fold_counts", f"""
+SELECT code, fold, CAST(n // 5 + CASE WHEN fold < n % 5 THEN 1 ELSE 0 END AS BIGINT) AS n
+FROM (SELECT {code_of('wp10')} AS code, count(*) AS n FROM mixed_fx GROUP BY 1) AS c
+CROSS JOIN (SELECT CAST(range AS INT) AS fold FROM range(5)) AS f
+WHERE n // 5 + CASE WHEN fold < n % 5 THEN 1 ELSE 0 END > 0""", "mixed_fx")
 oracle("m3_chain_prob", "SELECT rev_id, " + ", ".join(f"round(p{k}, 6) AS p{k}" for k in range(6)) + " FROM probs",
        "cond_probs_fx", extra={"probs": PROBS})
 oracle("m4_median_class", f"SELECT rev_id, CAST({_MEDIAN} AS INT) AS code FROM probs", "cond_probs_fx", extra={"probs": PROBS})

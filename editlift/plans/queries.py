@@ -19,7 +19,7 @@ from editlift.functions.rows import unnest
 from editlift.ml.linear import linear_scorer
 from editlift.ml.ordinal import SequentialOrdinal, as_scorer
 from editlift.ml.projection import ModelProjection
-from editlift.ml.selection import multiclass_model, quality_model, random_search, stratified_split
+from editlift.ml.selection import multiclass_model, quality_model, random_search, stratified_folds, stratified_split
 from editlift.operators import assessment, backlog, batches, cleantext, edits, evaluation, lookup, spans, talk, usage
 from editlift.operators.features import FEATURES, MODEL_COLUMNS, RAW_COLUMNS, featurize, model_projection
 from editlift.plans import lifecycle
@@ -802,6 +802,12 @@ def m1_split_counts(spark, sf):
     )
 
 
+@query
+def m1_fold_counts(spark, sf):
+    rows = stratified_folds(_mixed_labels(spark, sf).withColumn("code", L.label_code(F.col("wp10"))), k=5)
+    return rows.groupBy("code", "fold").agg(F.count("*").alias("n"))
+
+
 @query
 def m2_sequential_trees(spark, sf):
     rows = _train(spark, sf)

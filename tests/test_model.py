@@ -125,3 +125,20 @@ def test_train_and_evaluate(rows):
     assert tables["class_report"].count() == 6 and tables["confusion_matrix"].count() == 6
     assert tables["macro_scores"].first()["f1"] > 0.3
     assert isinstance(model, PipelineModel)
+
+
+def test_stratified_folds_deal_each_class_evenly(spark):
+    from editlift.ml.selection import stratified_folds
+
+    rows = [(i, i % 3 if i % 11 else None, "x") for i in range(500)] + [(7, 1, "x"), (None, 2, "x")]
+    df = spark.createDataFrame(rows, "rev_id long, code int, fold string")
+    out = stratified_folds(df, k=4)
+    assert out.columns == ["rev_id", "code", "fold"]
+    got = {}
+    for r in out.groupBy("code", "fold").count().collect():
+        got.setdefault(r["code"], []).append(r["count"])
+    for code, counts in got.items():
+        assert max(counts) - min(counts) <= 2 and len(counts) == 4, (code, counts)
+    # Copies of an id share their fold.
+    assert out.where("rev_id = 7").select("fold").distinct().count() == 1
+    assert out.count() == len(rows)
