@@ -46,9 +46,12 @@ SHIFT = 20
 MANY = 128
 
 #: Text whose new pre-tokens share one index.
-INDEX_BYTES = 8 << 20
-#: Pre-tokens whose ids a worker process keeps, over all its tasks.
-WORDS_KEPT = 600_000
+INDEX_BYTES = 2 << 20
+#: Memory of the pre-tokens whose ids a task keeps (strings, table slots and ids, estimated);
+#: beyond it the store starts afresh, and it is freed when the task ends.
+STORE_BYTES = 64 << 20
+#: Estimated bytes of one stored pre-token besides its own characters and ids.
+SLOT_BYTES = 120
 
 
 def byte_symbols() -> list[str]:
@@ -232,6 +235,7 @@ class WordStore:
     def clear(self) -> None:
         self.place: dict[str, int] = {}
         self.ids, self.count = np.empty(0, np.int32), np.empty(0, np.int64)
+        self.bytes = 0
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each has."""
@@ -240,7 +244,7 @@ class WordStore:
         for text in texts:
             words += self.vocab.pre_tokens(text or "")
             ends.append(len(words))
-        if len(self.place) > WORDS_KEPT:
+        if self.bytes > STORE_BYTES:
             self.clear()
         fresh = [w for w in dict.fromkeys(words) if w not in self.place]
         special = self.vocab.special
@@ -254,6 +258,7 @@ class WordStore:
                 self.place[w] = len(self.place)
             self.ids = np.concatenate([self.ids, ids, [special[w] for w in named]]).astype(np.int32)
             self.count = np.concatenate([self.count, count, np.ones(len(named))]).astype(np.int64)
+            self.bytes += sum(map(len, fresh)) + SLOT_BYTES * len(fresh) + 12 * int(np.sum(count))
         at = np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))
         start = np.cumsum(self.count) - self.count
         length = self.count[at]
@@ -267,10 +272,14 @@ def encode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = word_store(tokenizer)
-        for piece in pieces(batches, "text", INDEX_BYTES):
-            ids, edges = store.encode(piece.column(1).to_pylist())
-            lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([piece.column(0), lists], ["id", "ids"])
+        try:
+            for piece in pieces(batches, "text", INDEX_BYTES):
+                ids, edges = store.encode(piece.column(1).to_pylist())
+                lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([piece.column(0), lists], ["id", "ids"])
+        finally:
+            # The worker process outlives the task: its words go with the task.
+            store.clear()
 
     rows = df.select(df[id_col].alias("id"), text_or_empty(text_col).alias("text"))
     schema = T.StructType([rows.schema["id"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
