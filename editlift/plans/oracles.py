@@ -527,6 +527,10 @@ SELECT doc_id AS rev_id, 'template' AS kind, CAST(1 AS BIGINT) AS n, CAST(6 * (d
 UNION ALL SELECT doc_id, 'link', 1, 6 * (doc_id % 10 + 1) + 1 FROM documents
 UNION ALL SELECT doc_id, 'tag', 1, 11 * (doc_id % 8 + 1) + 1 FROM documents
 UNION ALL SELECT doc_id, 'table', 1, 6 * (doc_id % 8 + 1) + 1 FROM documents""")
+# A template of any depth leaves one blank, a link its innermost text, equal tags their content, a table nothing.
+oracle("t6_deep_template_spans", """
+SELECT doc_id AS rev_id, CAST(length(text) + 1 AS BIGINT) AS start, CAST(length(text) + 2 AS BIGINT) AS "end", 'a' AS label FROM documents""")
+oracle("t7_deep_text", "SELECT doc_id AS rev_id, concat(text, chr(10), '  y z', chr(10), chr(10)) AS text FROM documents")
 oracle("t4_tag_rules", """
 SELECT rev_id, CAST(pos AS INT) AS pos, name, piece FROM revisions_fx CROSS JOIN (VALUES
  (0, 'b', 'x'), (1, 'poem', '<poem>'), (2, 'gallery', NULL)) AS t(pos, name, piece)""", "revisions_fx")

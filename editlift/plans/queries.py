@@ -652,6 +652,16 @@ def t7_clean_text(spark, sf):
     return cleantext.clean_text(revisions(spark, sf), "rev_id")
 
 
+@query
+def t6_deep_template_spans(spark, sf):
+    return cleantext.template_spans(fx.load(spark, sf, fx.NESTED), "rev_id")
+
+
+@query
+def t7_deep_text(spark, sf):
+    return cleantext.clean_text(fx.load(spark, sf, fx.NESTED), "rev_id")
+
+
 @query
 def t8_node_rules(spark, sf):
     rows = cleantext.pieces(revisions(spark, sf), "rev_id").where("kind <> 'text'")
