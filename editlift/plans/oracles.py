@@ -144,6 +144,9 @@ oracle(
 )
 oracle("s6_csv_comment", "SELECT wp10 AS class, count(*) AS articles FROM revisions_fx GROUP BY wp10", "revisions_fx")
 oracle("s7_split_by_label", "SELECT rev_id, wp10, CAST(2 * (rev_id % 4) AS INT) AS ref FROM revisions_fx", "revisions_fx")
+oracle("s7_replace_classes", """
+SELECT rev_id, wp10, CAST(2 * (rev_id % 4) AS INT) AS ref FROM revisions_fx WHERE rev_id % 2 = 1
+UNION ALL SELECT rev_id, wp10, CAST(2 * (rev_id % 4) + 100 AS INT) FROM revisions_fx WHERE rev_id % 4 = 0""", "revisions_fx")
 oracle("s8_refuse_existing", "SELECT rev_id, wp10, true AS refused FROM revisions_fx", "revisions_fx")
 
 CATALOGUE_ROWS = r"""

@@ -124,6 +124,17 @@ def s7_split_by_label(spark, sf):
     return spark.read.parquet(path).select("rev_id", F.col("wp10").cast("string").alias("wp10"), "ref")
 
 
+@query
+def s7_replace_classes(spark, sf):
+    path = scratch_path(spark, "by-label")
+    rows = features(spark, sf).select("rev_id", "wp10", "ref")
+    sinks.write_by_label(rows, path, fmt="parquet")
+    # A second run of three classes replaces those three folders alone.
+    again = rows.where("rev_id % 4 = 0").withColumn("ref", F.col("ref") + 100)
+    sinks.write_by_label(again, path, fmt="parquet", mode="replace")
+    return spark.read.parquet(path).select("rev_id", F.col("wp10").cast("string").alias("wp10"), "ref")
+
+
 @query
 def s8_refuse_existing(spark, sf):
     path = scratch_path(spark, "once")

@@ -30,10 +30,17 @@ def write_by_label(
     """One folder per class. Tasks write what they hold, so nothing is shuffled
     and a large class is spread over many files. ``strict`` fails the job on an
     unknown class. ``compact`` rebalances first, for fewer and even files: one
-    shuffle, in which a large class is split into partitions of even size."""
+    shuffle, in which a large class is split into partitions of even size.
+
+    ``mode="replace"`` rewrites the folders of the classes present in ``df`` and
+    leaves the other classes' folders as they are (dynamic partition overwrite);
+    ``overwrite`` replaces the whole output, ``append`` adds files."""
     out = df.withColumn(label, known_label(F.col(label))) if strict else df
     out = out.hint("rebalance", label) if compact else out
-    writer = out.write.mode(mode).partitionBy(label)
+    if mode == "replace":
+        writer = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(label)
+    else:
+        writer = out.write.mode(mode).partitionBy(label)
     if fmt == "json":
         writer = writer.option("compression", "gzip")
     writer.format(fmt).save(path)
