@@ -11,6 +11,7 @@ regular expression and skips texts without that kind of markup.
 from __future__ import annotations
 
 from collections.abc import Callable
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,6 +36,8 @@ TABLE_ROW = r"(?dm)^[ \t]*(?:\{\|[^\n]*|\|[-}][^\n]*|[|!])"
 TAG_OR_QUOTES = r"</?[a-zA-Z][^<>]*>|'{2,}"
 LINE_MARK = r"(?dm)^={1,6}[ \t]*([^=\n][^\n]*?)[ \t]*={1,6}[ \t]*$|^[*#:;]+[ \t]*"
 ENTITY = r"&[#a-zA-Z0-9]+;"
+#: A character reference: a name, a decimal or a hexadecimal code point.
+ENTITY_REF = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{0,31});"
 WORD = r"[\p{L}\p{N}]+"
 COORDINATES = "#coordinates"
 
@@ -216,7 +219,28 @@ def strip_markup(cleaned: Column) -> Column:
     out = substitute(out, BRACKET_URL, "$1", ("://",))
     out = substitute(out, TAG_OR_QUOTES, "", ("<", "''"))
     out = substitute(out, LINE_MARK, "$1")
-    return substitute(out, ENTITY, " ", ("&",))
+    return decode_entities(out)
+
+
+def _entity_char(ref: Column) -> Column:
+    """The character of one reference ``&...;``; null for an unknown name or a code point
+    that is no character (0, surrogates, beyond U+10FFFF)."""
+    body = F.substring(ref, 2, F.length(ref) - 2)
+    named = F.try_element_at(F.create_map(*[F.lit(x) for k, v in sorted(name2codepoint.items()) for x in (k, chr(v))]), body)
+    digits = F.when(F.lower(body).startswith("#x"), F.conv(F.substring(body, 3, 8), 16, 10)).when(body.startswith("#"), F.substring(body, 2, 8))
+    point = digits.cast("long")
+    valid = (point >= 1) & (point <= 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
+    numeric = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"))
+    return F.coalesce(named, numeric)
+
+
+def decode_entities(text: Column) -> Column:
+    """Named (HTML 4 names) and numeric character references replaced by their characters, in one pass,
+    so ``&amp;lt;`` gives ``&lt;``; unknown names and invalid code points stay as written."""
+    parts = F.split(text, ENTITY_REF, -1)
+    refs = F.regexp_extract_all(text, F.lit(ENTITY_REF), 0)
+    decoded = F.transform(refs, lambda r, i: F.concat(F.coalesce(_entity_char(r), r), parts[i + 1]))
+    return F.when(text.contains("&"), F.concat(parts[0], F.array_join(decoded, ""))).otherwise(text)
 
 
 def plain_text(text: Column) -> Column:

@@ -22,14 +22,10 @@ from editlift.operators.spans import running_starts
 SECTION_MARK = "\u0001"
 ANY_HEADING = r"(?dm)^={1,6}[^=\n][^\n]*={1,6}[ \t]*$"
 
-# Tags and links that leave nothing, templates that are
-# references, and entities with the character each stands for.
+# Tags and links that leave nothing, and templates that are
+# references.
 TAGS_DROPPED = ("table", "img")
 REFERENCE_TEMPLATES = ("ref", "note")
-ENTITIES = {
-    "&nbsp;": " ", "&ndash;": "–", "&mdash;": "—", "&lt;": "<", "&gt;": ">",
-    "&quot;": '"', "&amp;": "&",
-}
 
 @dataclass(frozen=True)
 class Rules:
@@ -126,10 +122,7 @@ def piece_name(kind: Column, piece: Column) -> Column:
 
 
 def _decode(text: Column) -> Column:
-    out = text
-    for entity, char in ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+    return M.decode_entities(text)
 
 
 def _starts_with_any(name: Column, prefixes: tuple[str, ...]) -> Column:
@@ -149,7 +142,7 @@ def rendered(kind: Column, name: Column, piece: Column, rules: Rules) -> Column:
         F.when(name.isin(*TAGS_DROPPED), nothing)
         .when(name.isin(*kept) if kept else F.lit(False), F.concat(F.lit("<"), name, F.lit(">")))
         .when(name.isin(*dropped), nothing)
-        .otherwise(_decode(M.strip_markup(piece)))
+        .otherwise(M.strip_markup(piece))
     )
     # A stripped template leaves no text, so only kept ones show.
     template = F.when(
@@ -161,7 +154,7 @@ def rendered(kind: Column, name: Column, piece: Column, rules: Rules) -> Column:
         .when(kind == "tag", tag)
         .when(kind == "template", template)
         .when(kind.isin("table", "image", "category", "heading", "quotes"), nothing)
-        .otherwise(_decode(M.strip_markup(piece)))
+        .otherwise(M.strip_markup(piece))
     )
 
 

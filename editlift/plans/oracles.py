@@ -6,7 +6,10 @@ the input views, the fixed patterns' meaning and the model weights are shared.
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from editlift import fixtures as fx
+from editlift.functions import markup as M
 from editlift.ml.linear import THRESHOLDS, WEIGHTS
 
 ORACLES: dict[str, str] = {}
@@ -52,7 +55,24 @@ for _ in range(2):
 PLAIN = gsub(PLAIN, r"(?i)\[(?:https?|ftp)://[^\s\[\]]*[ \t]*([^\[\]]*)\]", r"\1")
 PLAIN = gsub(PLAIN, r"</?[a-zA-Z][^<>]*>|''{2,}")
 PLAIN = gsub(PLAIN, r"(?m)^={1,6}[ \t]*([^=\n][^\n]*?)[ \t]*={1,6}[ \t]*$|^[*#:;]+[ \t]*", r"\1")
-PLAIN = gsub(PLAIN, r"&[#a-zA-Z0-9]+;", " ")
+
+
+def decode_sql(x: str) -> str:
+    """Character references replaced in one pass, as ``markup.decode_entities`` does."""
+    ref = M.ENTITY_REF
+    names = "MAP {" + ", ".join("'{}': '{}'".format(k, chr(v).replace("'", "''")) for k, v in sorted(name2codepoint.items())) + "}"
+    r = f"regexp_extract_all({x}, '{ref}')[i]"
+    body = f"substr({r}, 2, length({r}) - 2)"
+    point = (f"(CASE WHEN lower({body}) LIKE '#x%' THEN ('0x' || substr({body}, 3))::BIGINT "
+             f"WHEN {body} LIKE '#%' THEN substr({body}, 2)::BIGINT END)")
+    char = (f"coalesce(map_extract({names}, {body})[1], CASE WHEN {point} BETWEEN 1 AND 1114111 "
+            f"AND {point} NOT BETWEEN 55296 AND 57343 THEN chr(CAST({point} AS INT)) END, {r})")
+    parts = f"string_split_regex({x}, '{ref}')"
+    return (f"CASE WHEN contains({x}, '&') THEN {parts}[1] || array_to_string(list_transform("
+            f"range(1, len(regexp_extract_all({x}, '{ref}')) + 1), lambda i: {char} || {parts}[i + 1]), '') ELSE {x} END")
+
+
+PLAIN = decode_sql(PLAIN)
 
 NAME = r"\{\{[ \t\n]*([^{}|<>\[\]]+)"
 NOTICE = r"(?i)\{\{[ \t\n]*(?:%s)[ \t\r\n]*[|}]"

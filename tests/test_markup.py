@@ -94,7 +94,9 @@ def test_features_add_up(spark):
         ("<b>x</b><math>\\frac</math>y", "xy"),
         ("[http://e.org here] [http://e.org]", "here "),
         ("== Head ==\n* item", "Head\nitem"),
-        ("a&nbsp;b", "a b"),
+        ("a&nbsp;b", "a\u00a0b"),
+        ("caf&eacute;s &#233;&#xE9; &amp;lt; &bogus; &#0;", "cafés éé &lt; &bogus; &#0;"),
+        ("[[a|b &amp; c]]", "b & c"),
         ("{{ unclosed", "{{ unclosed"),
     ],
 )
