@@ -19,6 +19,7 @@ from editlift.functions.rows import unnest
 from editlift.ml.linear import linear_scorer
 from editlift.ml.ordinal import SequentialOrdinal, as_scorer
 from editlift.ml.projection import ModelProjection
+from editlift.ml.trees import CompiledScorer
 from editlift.ml.selection import multiclass_model, quality_model, random_search, stratified_folds, stratified_split
 from editlift.operators import assessment, backlog, batches, cleantext, edits, evaluation, lookup, spans, talk, usage
 from editlift.operators.features import FEATURES, MODEL_COLUMNS, RAW_COLUMNS, featurize, model_projection
@@ -782,6 +783,14 @@ def e6_fitted_model_edits(spark, sf):
     return edits.rank_edits(edits.score_edits(rows, as_scorer(model), "rev_id"), "rev_id")
 
 
+@query
+def e6_compiled_tree_edits(spark, sf):
+    """The boosted chain (100 rounds of depth 3) compiled to expressions: every variant scored in its row."""
+    rows = features(spark, sf).withColumn("code", L.label_code(F.col("wp10")))
+    model = quality_model().fit(rows.select("code", *RAW_COLUMNS))
+    return edits.rank_edits(edits.score_edits(rows, CompiledScorer(model), "rev_id"), "rev_id")
+
+
 @query
 def e7_page_results(spark, sf):
     out = lifecycle.answer_requests(

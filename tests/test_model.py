@@ -142,3 +142,32 @@ def test_stratified_folds_deal_each_class_evenly(spark):
     # Copies of an id share their fold.
     assert out.where("rev_id = 7").select("fold").distinct().count() == 1
     assert out.count() == len(rows)
+
+
+@pytest.mark.parametrize("learner", ["trees", "logistic"])
+def test_compiled_scorer_equals_transform(rows, learner):
+    from editlift.ml.trees import CompiledScorer
+
+    classifier = GBTClassifier(maxIter=8, maxDepth=3, seed=1) if learner == "trees" else LogisticRegression(maxIter=15, regParam=0.01)
+    model = quality_model(classifier).fit(rows)
+    fitted = score_edits(rows, as_scorer(model), "rev_id").select("rev_id", "edit", "prob")
+    compiled_scores = score_edits(rows, CompiledScorer(model), "rev_id")
+    compiled = compiled_scores.select("rev_id", "edit", F.col("prob").alias("prob2"))
+    joined = fitted.join(compiled, ["rev_id", "edit"])
+    assert joined.count() == fitted.count() == compiled.count() > 0
+    worst = joined.select(F.max(F.aggregate(F.zip_with("prob", "prob2", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda m, d: F.greatest(m, d)))).first()[0]
+    assert worst < 1e-9
+    # Scored in the row: no exchange, no Python.
+    local = rows.sparkSession.createDataFrame(rows.limit(20).collect(), rows.schema)
+    plan = score_edits(local, CompiledScorer(model), "rev_id")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_compiled_scorer_refuses_other_learners(rows):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    from editlift.ml.trees import CompiledScorer
+
+    model = quality_model(RandomForestClassifier(numTrees=2, maxDepth=2, seed=1)).fit(rows)
+    with pytest.raises(ValueError, match="cannot compile"):
+        CompiledScorer(model).probabilities({c: F.col(c) for c in RAW_COLUMNS})
