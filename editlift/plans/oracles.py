@@ -143,6 +143,8 @@ def oracle(name: str, sql: str, *views: str, extra: dict[str, str] | None = None
 # --- scans, sources, sinks: what comes back is what went in ---------------------
 
 oracle("s1_ndjson_scan", "SELECT rev_id AS revid, wp10, CAST(length(wikitext) AS INT) AS n_chars FROM revisions_fx", "revisions_fx")
+oracle("s1_tolerant_scan", """
+SELECT rev_id AS revid, wp10, CAST(length(wikitext) AS INT) AS n_chars FROM revisions_fx WHERE rev_id % 10 <> 0""", "revisions_fx")
 oracle(
     "s2_ndjson_sink",
     "SELECT lang, count(*) AS n, CAST(sum(length(wikitext)) AS BIGINT) AS n_chars FROM revisions_fx GROUP BY lang",

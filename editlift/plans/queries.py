@@ -7,6 +7,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from editlift import fixtures as fx
@@ -70,6 +71,18 @@ def s1_ndjson_scan(spark, sf):
     return readers.read_ndjson(spark, path).select("revid", "wp10", F.length("wikitext").alias("n_chars"))
 
 
+@query
+def s1_tolerant_scan(spark, sf):
+    """Every tenth line cut short: the other lines read, the cut ones counted apart."""
+    path = scratch_path(spark, "ndjson-broken")
+    lines = revisions(spark, sf).select(F.to_json(F.struct(F.col("rev_id").alias("revid"), "wp10", "wikitext")).alias("j"), "rev_id")
+    cut = F.when(F.col("rev_id") % 10 == 0, F.expr("substring(j, 1, length(j) - 2)")).otherwise(F.col("j"))
+    lines.select(cut.alias("value")).write.text(path)
+    observation = Observation("tolerant-scan")
+    good, _ = readers.split_corrupt(readers.read_ndjson_tolerant(spark, path), observation)
+    return good.select("revid", "wp10", F.length("wikitext").alias("n_chars"))
+
+
 @query
 def s2_ndjson_sink(spark, sf):
     path = scratch_path(spark, "ndjson-gz")

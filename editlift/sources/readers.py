@@ -21,6 +21,29 @@ def read_ndjson(spark: SparkSession, path: str | list[str], schema: str = schema
     return spread(spark.read.schema(schema).option("mode", "FAILFAST").json(path))
 
 
+#: Column of a tolerant read that holds a malformed line as it was.
+CORRUPT = "_corrupt_record"
+
+
+def read_ndjson_tolerant(spark: SparkSession, path: str | list[str], schema: str = schemas.REVISION) -> DataFrame:
+    """Lines of JSON where a malformed line is a row with ``_corrupt_record`` set and the other
+    columns null; well-formed lines have it null. Split the two with ``split_corrupt``."""
+    reader = spark.read.schema(f"{schema}, {CORRUPT} STRING").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+    return spread(reader.json(path))
+
+
+def split_corrupt(rows: DataFrame, observation) -> tuple[DataFrame, DataFrame]:
+    """(good rows without the column, malformed rows with the line as ``line``). ``observation`` (a
+    ``pyspark.sql.Observation``) counts ``rows`` and ``corrupt`` in the pass that reads the good rows.
+
+    Spark refuses a scan that reads the corrupt column alone, so the malformed rows keep the
+    other (null) columns beside ``line``."""
+    counted = rows.observe(observation, F.count(F.lit(1)).alias("rows"), F.count(CORRUPT).alias("corrupt"))
+    good = counted.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    bad = rows.where(F.col(CORRUPT).isNotNull()).withColumnRenamed(CORRUPT, "line")
+    return good, bad
+
+
 def read_labeled_one(spark: SparkSession, path: str) -> DataFrame:
     """One featurized file without its text columns; they are left out of the schema."""
     return read_ndjson(spark, path, schemas.FEATURIZED)

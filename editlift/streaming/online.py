@@ -17,7 +17,7 @@ from editlift.sources.schemas import REVISION
 
 def revision_stream(spark: SparkSession, path: str, schema: str = REVISION, max_files: int = 100) -> DataFrame:
     """New ndjson files of a folder as a stream of revisions."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).json(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).option("mode", "FAILFAST").json(path)
 
 
 def suggest_on_stream(

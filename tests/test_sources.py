@@ -134,3 +134,21 @@ def test_malformed_input_raises(spark, tmp_path):
     for read in (lambda: readers.read_ndjson(spark, str(tmp_path / "a.ndjson")), lambda: readers.read_catalogue(spark, str(tmp_path / "c.json"))):
         with pytest.raises(Exception, match="MALFORMED|malformed|Malformed"):
             read().collect()
+
+
+def test_tolerant_read_counts_broken_lines(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    from editlift.sources import readers
+
+    path = tmp_path / "broken"
+    path.mkdir()
+    (path / "part.json").write_text('{"revid": 1, "wp10": "B"}\n{"revid": 2, "wp10": \n{"revid": 3}\nnot json\n')
+    observation = Observation("reads")
+    good, bad = readers.split_corrupt(readers.read_ndjson_tolerant(spark, str(path)), observation)
+    assert sorted(r.revid for r in good.collect()) == [1, 3]
+    assert observation.get == {"rows": 4, "corrupt": 2}
+    assert sorted(r.line for r in bad.collect()) == sorted(['{"revid": 2, "wp10": ', "not json"])
+    # The default read still refuses the file.
+    with pytest.raises(Exception):
+        readers.read_ndjson(spark, str(path)).collect()
