@@ -671,6 +671,9 @@ SELECT code, fold, CAST(n // 5 + CASE WHEN fold < n % 5 THEN 1 ELSE 0 END AS BIG
 FROM (SELECT {code_of('wp10')} AS code, count(*) AS n FROM mixed_fx GROUP BY 1) AS c
 CROSS JOIN (SELECT CAST(range AS INT) AS fold FROM range(5)) AS f
 WHERE n // 5 + CASE WHEN fold < n % 5 THEN 1 ELSE 0 END > 0""", "mixed_fx")
+oracle("m2_saturated_chain", f"""
+SELECT grp, """ + ", ".join(f"round(CAST(count(*) FILTER (WHERE code = {k}) AS DOUBLE) / count(*), 4) AS p{k}" for k in range(6)) + f"""
+FROM (SELECT CAST(rev_id % 5 AS BIGINT) AS grp, {code_of('wp10')} AS code FROM revisions_fx) AS r GROUP BY grp""", "revisions_fx")
 oracle("m3_chain_prob", "SELECT rev_id, " + ", ".join(f"round(p{k}, 6) AS p{k}" for k in range(6)) + " FROM probs",
        "cond_probs_fx", extra={"probs": PROBS})
 oracle("m4_median_class", f"SELECT rev_id, CAST({_MEDIAN} AS INT) AS code FROM probs", "cond_probs_fx", extra={"probs": PROBS})

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
@@ -865,6 +865,19 @@ def m2_sequential_logistic(spark, sf):
     return model.transform(rows).select("rev_id", "code", "prediction")
 
 
+@query
+def m2_saturated_chain(spark, sf):
+    """The chain fitted without penalty on a one-hot of five groups: its class probabilities are the
+    class frequencies of each group, an exact answer the SQL states."""
+    rows = revisions(spark, sf).select(F.col("rev_id") % 5, L.label_code(F.col("wp10")))
+    rows = rows.toDF("grp", "code")
+    onehot = array_to_vector(F.array(*[(F.col("grp") == g).cast("double") for g in range(5)]))
+    learner = LogisticRegression(maxIter=500, regParam=0.0, fitIntercept=False, tol=1e-12, standardization=False)
+    model = SequentialOrdinal(classifier=learner, featuresCol="onehot", labelCol="code").fit(rows.withColumn("onehot", onehot))
+    probs = model.transform(rows.withColumn("onehot", onehot)).groupBy("grp").agg(F.first("prob").alias("prob"))
+    return probs.select(F.col("grp").cast("long").alias("grp"), *[F.round(F.col("prob")[k], 4).alias(f"p{k}") for k in range(K)])
+
+
 @query
 def m3_chain_prob(spark, sf):
     return _probs(_chain(spark, sf))
