@@ -148,6 +148,9 @@ def test_trie_as_brute_force(spark, shards):
     convs |= {100: hot, 101: hot[:1], 102: [("user", "x" * 5000)], 103: [("assistant", "")], 104: [("", "")], -5: hot + hot}
     rows = conv_rows(convs) + [(None, 0, "user", "lost", "x"), (105, None, None, None, "x"), (105, 3, "user", "after null", "x")]
     convs[105] = [("", ""), ("user", "after null")]
+    # A repeated row is a repeated turn; equal turn numbers are ordered by role, then text.
+    rows += [(7, 0, "user", "hello there", "x")]
+    convs[7] = [hot[0]] + convs[7]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, depth string").repartition(4)
     got = trie.prefix_trie(df, shards=shards)
     got = got.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
