@@ -6,6 +6,7 @@ model of "above k". The class probabilities follow by the chain rule.
 
 from __future__ import annotations
 
+from math import ceil
 from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel, keyword_only
@@ -33,10 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from editlift.functions.probability import chain_array, median_code, modal_code
+from editlift.session import reliable_checkpoint
 
 
 MAX_CLASSES = 1_000
 
+#: Training rows of a task. An iterative learner runs many short jobs, whose cost on few rows is their tasks.
+ROWS_PER_TASK = 50_000
+
 
 class _OrdinalParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasProbabilityCol, HasParallelism):
     decision = Param(
@@ -83,7 +88,9 @@ class SequentialOrdinal(_OrdinalParams, Estimator, MLReadable, MLWritable):
 
     def _fit(self, dataset: DataFrame) -> "SequentialOrdinalModel":
         label, features = self.getLabelCol(), self.getFeaturesCol()
-        data = dataset.select(F.col(label).cast("int").alias("_y"), F.col(features).alias("_x"))
+        # Written once with its lineage cut, before the threads start: the steps share no plan, their tasks
+        # carry none of the expressions behind the features, and a lost block is read, not computed again.
+        data = reliable_checkpoint(dataset.select(F.col(label).cast("int").alias("_y"), F.col(features).alias("_x")))
         data = data.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             per_class = data.where("_y is not null").groupBy("_y").count().limit(MAX_CLASSES + 1).collect()
@@ -94,11 +101,12 @@ class SequentialOrdinal(_OrdinalParams, Estimator, MLReadable, MLWritable):
             missing = [k for k in range(n_classes) if not counts.get(k)]
             if n_classes < 2 or missing:
                 raise ValueError(f"classes without rows: {missing or 'fewer than two classes'}")
+            tasks = ceil(sum(counts.values()) / ROWS_PER_TASK)
 
             def fit_step(k: int):
                 step = data.where(F.col("_y") >= k).select(
                     (F.col("_y") > k).cast("double").alias("_above"), F.col("_x")
-                )
+                ).coalesce(tasks)
                 binary = self.classifier.copy(
                     {self.classifier.labelCol: "_above", self.classifier.featuresCol: "_x"}
                 )

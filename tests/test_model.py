@@ -171,3 +171,20 @@ def test_compiled_scorer_refuses_other_learners(rows):
     model = quality_model(RandomForestClassifier(numTrees=2, maxDepth=2, seed=1)).fit(rows)
     with pytest.raises(ValueError, match="cannot compile"):
         CompiledScorer(model).probabilities({c: F.col(c) for c in RAW_COLUMNS})
+
+
+def test_steps_of_the_chain_share_no_plan_of_the_features(rows):
+    """What the threads fit on is written once: no step carries the expressions the features come from."""
+
+    class Recording(LogisticRegression):
+        plans: list = []
+
+        def _fit(self, dataset):
+            Recording.plans.append(dataset._jdf.queryExecution().toRdd().toDebugString())
+            Recording.plans.append(dataset._jdf.queryExecution().optimizedPlan().toString())
+            return super()._fit(dataset)
+
+    data = ModelProjection().transform(rows.withColumn("words", F.length(F.regexp_replace(F.col("wp10"), "S", "xx"))))
+    SequentialOrdinal(classifier=Recording(maxIter=1), labelCol="code").fit(data)
+    assert len(Recording.plans) == 10
+    assert not [p for p in Recording.plans if "regexp_replace" in p or "parquet" in p]
