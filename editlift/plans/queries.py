@@ -25,7 +25,7 @@ from editlift.ml.selection import multiclass_model, quality_model, random_search
 from editlift.operators import assessment, backlog, batches, cleantext, edits, evaluation, lookup, spans, talk, usage
 from editlift.operators.features import FEATURES, MODEL_COLUMNS, RAW_COLUMNS, featurize, model_projection
 from editlift.plans import lifecycle
-from editlift.session import scratch_path
+from editlift.session import reliable_checkpoint, scratch_path
 from editlift.sources import dump, readers, schemas, sinks
 
 K = len(L.CLASSES)
@@ -791,7 +791,7 @@ def e6_top_edit(spark, sf):
 
 @query
 def e6_fitted_model_edits(spark, sf):
-    rows = features(spark, sf).withColumn("code", L.label_code(F.col("wp10")))
+    rows = _train(spark, sf)
     model = quality_model(LogisticRegression(maxIter=20, regParam=0.01)).fit(rows.select("code", *RAW_COLUMNS))
     return edits.rank_edits(edits.score_edits(rows, as_scorer(model), "rev_id"), "rev_id")
 
@@ -799,7 +799,7 @@ def e6_fitted_model_edits(spark, sf):
 @query
 def e6_compiled_tree_edits(spark, sf):
     """The boosted chain (100 rounds of depth 3) compiled to expressions: every variant scored in its row."""
-    rows = features(spark, sf).withColumn("code", L.label_code(F.col("wp10")))
+    rows = _train(spark, sf)
     model = quality_model().fit(rows.select("code", *RAW_COLUMNS))
     return edits.rank_edits(edits.score_edits(rows, CompiledScorer(model), "rev_id"), "rev_id")
 
@@ -829,8 +829,9 @@ def p7_percent(spark, sf):
 
 
 def _train(spark, sf):
+    """The narrow rows of the models, computed once: every pass of a learner, and scoring, would read the texts again."""
     rows = features(spark, sf).withColumn("code", L.label_code(F.col("wp10")))
-    return rows.select("rev_id", "code", *RAW_COLUMNS)
+    return reliable_checkpoint(rows.select("rev_id", "code", *RAW_COLUMNS))
 
 
 def _probs(df):

@@ -188,3 +188,10 @@ def test_steps_of_the_chain_share_no_plan_of_the_features(rows):
     SequentialOrdinal(classifier=Recording(maxIter=1), labelCol="code").fit(data)
     assert len(Recording.plans) == 10
     assert not [p for p in Recording.plans if "regexp_replace" in p or "parquet" in p]
+
+
+def test_training_rows_are_computed_once(spark, sf):
+    from editlift.plans.queries import _train
+
+    rows = _train(spark, sf)
+    assert "parquet" not in rows._jdf.queryExecution().optimizedPlan().toString() and rows.count() == 200
