@@ -56,7 +56,7 @@ def train_and_evaluate(
     train = split.where("is_train")
     if search is not None:
         base = classifier or GBTClassifier(seed=seed)
-        classifier = best_classifier(random_search(train, classifier=base, **search), base)
+        classifier = best_classifier(random_search(train, classifier=base, **{"label": "code", "id_col": id_col, **search}), base)
     model = quality_model(classifier)
     held = model.fit(train).transform(split.where(~F.col("is_train")))
     pairs = held.select(F.col("code").alias("actual"), F.col("prediction").cast("int").alias("pred"), "prob").persist()
