@@ -111,3 +111,16 @@ def test_unclosed_markup_stays_text(text):
     got = split_pieces(text)
     assert "".join(got) == text
     assert not any(len(p) > 1 and p[:2] in ("{{", "[[", "{|") for p in got)
+
+
+def test_pieces_are_scanned_in_slices_of_bounded_bytes():
+    import pyarrow as pa
+
+    from editlift.functions.brackets import _slices
+
+    rows = [["é" * 30, "b"], None, [], [None, "c" * 5], ["d" * 500], ["e"], ["f" * 39, "g" * 60]]
+    for batch in (pa.array(rows, pa.list_(pa.string())), pa.array([["skipped"], *rows], pa.list_(pa.string())).slice(1)):
+        parts = [p.to_pylist() for p in _slices(batch, 100)]
+        assert [r for p in parts for r in p] == rows
+        size = [sum(len(t.encode()) for r in p if r for t in r if t) for p in parts]
+        assert all(s <= 100 or len(p) == 1 for s, p in zip(size, parts)) and len(parts) > 2
