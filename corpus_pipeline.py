@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from editlift.llm import bpe, decontam, minhash, quality, secrets
 from editlift.llm.common import staged, table
 from editlift.llm.tokenizers import BYTE_BPE
-from editlift.session import broadcast_if_small
+from editlift.session import broadcast_if_small, small_batches
 
 #: SQL cannot express MinHash components, forests or BPE; tests compare with brute force.
 ORACLE_SQL = None
@@ -63,6 +63,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     decoded = bpe.decode(bpe.encode(docs, BYTE_BPE), BYTE_BPE, keep=True)
     return decoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256")

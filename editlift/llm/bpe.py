@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from editlift.llm.common import PIECE_BYTES, pieces, text_or_empty
+from editlift.llm.common import PIECE_BYTES, give_back, pieces, text_or_empty
 
 #: The pre-token pattern of the public byte-level vocabularies.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -280,6 +280,7 @@ def encode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         finally:
             # The worker process outlives the task: its words go with the task.
             store.clear()
+            give_back()
 
     rows = df.select(df[id_col].alias("id"), text_or_empty(text_col).alias("text"))
     schema = T.StructType([rows.schema["id"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
@@ -290,7 +291,12 @@ def decode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str =
     """(id, text), with ``keep`` (id, ids, text): the bytes of the ids read as UTF-8, special tokens included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(tokenizer)
+        try:
+            yield from decoded(vocabulary(tokenizer), batches)
+        finally:
+            give_back()
+
+    def decoded(vocab: Vocabulary, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             step = max(1, int(PIECE_BYTES / 4 * batch.num_rows / max(1, batch.nbytes)))
             for start in range(0, batch.num_rows, step):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from editlift.session import scratch_path, ship_package
+from editlift.session import scratch_path, ship_package, small_batches
 
 #: Text handled at once inside a task; a longer text is handled alone.
 PIECE_BYTES = 4 << 20
@@ -20,12 +21,14 @@ BLANKS = r"\x20\x09-\x0D"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it: cuts lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)
+    small_batches(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
@@ -41,13 +44,24 @@ def ascii_lower(text: Column) -> Column:
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each piece holds about ``limit`` bytes of a column."""
-    for batch in batches:
-        col = batch.column(batch.schema.get_field_index(column))
-        start, size = 0, 0
-        for row, n in enumerate(pc.binary_length(col).to_pylist()):
-            if size and size + (n or 0) > limit:
-                yield batch.slice(start, row - start)
-                start, size = row, 0
-            size += n or 0
-        if batch.num_rows > start:
-            yield batch.slice(start)
+    try:
+        for batch in batches:
+            col = batch.column(batch.schema.get_field_index(column))
+            start, size = 0, 0
+            for row, n in enumerate(pc.binary_length(col).to_pylist()):
+                if size and size + (n or 0) > limit:
+                    yield batch.slice(start, row - start)
+                    start, size = row, 0
+                size += n or 0
+            if batch.num_rows > start:
+                yield batch.slice(start)
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker process outlives its task and may long wait for the next."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)

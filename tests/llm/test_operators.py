@@ -6,10 +6,11 @@ import hashlib
 import re
 import string
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from editlift.llm import bpe, decontam, licenses, minhash, quality, secrets, substrings, toxicity, urls, warc
+from editlift.llm import bpe, common, decontam, licenses, minhash, quality, secrets, substrings, toxicity, urls, warc
 from editlift.llm.tokenizers import BYTE_BPE
 
 BASE = "the quick brown fox jumps over the lazy dog while seven wizards mix strong potions for a tired old king near the river bank today"
@@ -280,3 +281,10 @@ def test_toxicity_on_held_out_texts(spark):
     assert len(wrong) <= 4
     none = toxicity.fit_chain(docs, labels.limit(0)).score(docs.limit(3)).collect()
     assert len(none) == 3 and not any(r.toxic for r in none)
+
+
+def test_batches_for_python_workers_are_bounded(spark):
+    common.staged(spark.range(1), "bound")
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches)
+    big = spark.range(400).select(F.repeat(F.lit("x"), 50_000).alias("text")).coalesce(1)
+    assert max(r.n for r in big.mapInArrow(sizes, "n long").collect()) < 8 << 20
