@@ -6,7 +6,9 @@ coordinate k. Bands of ``ROWS`` coordinates bring texts together; there are so m
 them that a pair at the threshold is missed with a chance below ``MISS``.
 
 Texts of equal shingle sets are one class. In each band the members are
-compared with three hubs of the band, so that a band of any size gives three pairs per member. What
+compared with one hub. Hubs are taken in the same order of all sets in every band, so that a large
+group has few of them and its links grow with its members, not with members times bands. Members that are
+still apart from their band's smallest or largest set are compared with these. What
 the verified links leave apart inside a band is then compared in full: every
 member outside the band's largest component with the members of other components, where parity
 sketches of the sets first rule out pairs that are provably too far apart. So no link
@@ -43,7 +45,7 @@ PICKED = 500_000
 
 #: Shingles hashed at once, so that a chunk stays in the cache.
 CHUNK = 1 << 16
-WORDS_KEPT = 500_000
+WORDS_KEPT = 100_000
 
 #: 64-bit words of a parity sketch.
 PARITY_WORDS = 16
@@ -209,6 +211,15 @@ def components(edges: DataFrame) -> DataFrame:
         labels = fresh.select("node", "root")
 
 
+def joined_roots(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, root) after further links: these are followed between the roots alone. A node without a row is its own root."""
+    at = lambda end: F.coalesce(F.col(f"{end}_root"), F.col(end)).alias(end)
+    known = edges.join(roots.toDF("u", "u_root"), "u", "left").join(roots.toDF("v", "v_root"), "v", "left")
+    merged = components(known.select(at("u"), at("v")))
+    nodes = roots.unionByName(merged.join(roots, "node", "left_anti"))
+    return staged(nodes.join(merged.toDF("root", "lower"), "root", "left").select("node", F.coalesce("lower", "root").alias("root")), "roots")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row."""
     rows = df.select(df[id_col].alias("id"), text_or_empty(text_col).alias("text"))
@@ -219,16 +230,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = marked.where(F.col("h").isNotNull() & F.col("id").isNotNull())
     classes = named.groupBy("h").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     member = classes.select(F.explode("bands").alias("band"), "h", "rep", "n")
-    size = member.groupBy("band").agg(F.count("*").alias("k"), F.min(F.struct("n", "h", "rep")).alias("hub0"), F.max(F.struct("n", "h", "rep")).alias("hub1"), F.min(F.struct(F.xxhash64("h", "band"), "n", "h", "rep")).alias("hub2")).where("k > 1")
+    size = member.groupBy("band").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64("h"), "h", "n")).alias("hub"), F.min(F.struct("n", "h")).alias("least"), F.max(F.struct("n", "h")).alias("most")).where("k > 1")
     shared = staged(member.join(size, "band"), "bands")
 
     close = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
-    stars = shared.select("h", "rep", "n", F.explode(F.array(
-        F.struct(F.col("hub0.h").alias("h"), F.col("hub0.rep").alias("rep"), F.col("hub0.n").alias("n")),
-        F.struct(F.col("hub1.h").alias("h"), F.col("hub1.rep").alias("rep"), F.col("hub1.n").alias("n")),
-        F.struct(F.col("hub2.h").alias("h"), F.col("hub2.rep").alias("rep"), F.col("hub2.n").alias("n")),
-    )).alias("hub")).where((F.col("h") != F.col("hub.h")) & close(F.col("n"), F.col("hub.n")))
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    stars = shared.where((F.col("h") != F.col("hub.h")) & close(F.col("n"), F.col("hub.n")))
     pairs = staged(stars.select(*pair(F.col("h"), F.col("hub.h"))).distinct(), "pairs")
 
     sets = picked_sets(rows, shared.select("rep").distinct(), width)
@@ -239,20 +246,31 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     same_id = named.groupBy("id").agg(F.count_distinct("h").alias("k")).where("k > 1").select("id")
     twice = named.join(same_id, "id").join(classes.select("h", "rep"), "h").select(F.col("id").alias("u"), F.col("rep").alias("v"))
     roots = components(as_nodes(links).union(twice))
+    with_roots = lambda: shared.join(roots, F.col("rep") == F.col("node"), "left").select("band", "h", "n", "least", "most", F.coalesce("root", "rep").alias("root"))
+
+    # Members apart from the smallest or largest set of their band are compared with it.
+    placed = with_roots()
+    ends = placed.groupBy("band").agg(*(F.max(F.when(F.col("h") == F.col(f"{e}.h"), F.col("root"))).alias(f"{e}_root") for e in ("least", "most")))
+    ended = placed.join(ends, "band").select("h", "n", "root", F.explode(F.array(*(F.struct(f"{e}.h", f"{e}.n", F.col(f"{e}_root").alias("root")) for e in ("least", "most")))).alias("end"))
+    apart = ended.where((F.col("root") != F.col("end.root")) & close(F.col("n"), F.col("end.n")))
+    second = staged(apart.select(*pair(F.col("h"), F.col("end.h"))).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    links = staged(verified(second, sets, percent), "verified")
+    if not links.isEmpty():
+        roots = joined_roots(roots, as_nodes(links))
 
     # What is still apart inside a band is compared in full.
-    placed = shared.select("band", "h", "rep", "n").join(roots, F.col("rep") == F.col("node"), "left").select("band", "h", "n", F.coalesce("root", "rep").alias("root"))
+    placed = with_roots()
     counted = placed.groupBy("band", "root").agg(F.count("*").alias("k"))
     main = counted.groupBy("band").agg(F.max(F.struct("k", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("band", F.col("main.root").alias("main"))
     # Sketches rule out what is too far apart, so that few pairs but links leave the join.
-    apart = staged(placed.join(main, "band").join(sets.select("h", "sketch"), "h"), "apart")
+    apart = staged(placed.select("band", "h", "n", "root").join(main, "band").join(sets.select("h", "sketch"), "h"), "apart")
     rest = apart.where("root <> main").select("band", F.col("h").alias("g"), F.col("n").alias("m"), F.col("root").alias("other"), F.col("sketch").alias("sketch_g"))
     once = (F.col("root") != F.col("other")) & ((F.col("root") == F.col("main")) | (F.col("h") < F.col("g")))
     crossed = apart.join(rest, "band").where(once & close(F.col("n"), F.col("m")) & may_reach(F.col("n"), F.col("sketch"), F.col("m"), F.col("sketch_g"), percent))
-    fresh = crossed.select(*pair(F.col("h"), F.col("g"))).distinct().join(pairs, ["a", "b"], "left_anti")
+    fresh = crossed.select(*pair(F.col("h"), F.col("g"))).distinct().join(pairs.union(second), ["a", "b"], "left_anti")
     more = staged(verified(fresh, sets, percent), "verified")
     if not more.isEmpty():
-        roots = components(as_nodes(links.union(more)).union(twice))
+        roots = joined_roots(roots, as_nodes(more))
 
     by_class = classes.select("h", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("h", F.coalesce("root", "rep").alias("component"))
     out = marked.select("id", "n", "h").join(by_class, "h", "left")

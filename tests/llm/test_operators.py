@@ -283,6 +283,17 @@ def test_toxicity_on_held_out_texts(spark):
     assert len(none) == 3 and not any(r.toxic for r in none)
 
 
+def test_links_of_a_large_group_of_near_copies(spark, monkeypatch):
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(words[:k] + [f"x{k}"] + words[k + 1 :])) for k in range(120)]
+    docs = spark.createDataFrame(rows, DDL).repartition(3)
+    compared, full = [], minhash.verified
+    monkeypatch.setattr(minhash, "verified", lambda pairs, *rest: (compared.append(pairs.count()), full(pairs, *rest))[1])
+    got = minhash.near_duplicates(docs, width=3, percent=85).collect()
+    assert {r.component_id for r in got} == {0} and len(got) == 120
+    assert sum(compared) < 15 * len(rows)
+
+
 def test_batches_for_python_workers_are_bounded(spark):
     common.staged(spark.range(1), "bound")
     sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches)
