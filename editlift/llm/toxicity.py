@@ -1,13 +1,14 @@
 """Toxicity by a chain of linear classifiers.
 
 Categories are predicted one after the other. Each is a sparse logistic model
-on the words of the text and on the probabilities of the categories before it. In
+on the words of the text, on their starts (an inflected or compound word is seldom seen twice, its stem
+is) and on the probabilities of the categories before it. In
 training these come out of fold: a document's probability comes from a model that has
 not seen its fold. The last category is the given label. The narrower
 ones are labelled documents that hold a word of the category's seed list.
 
 The models are fitted on at most ``LABELLED`` labelled documents; every document is scored, its whole text.
-The vocabulary has at most ``VOCABULARY`` words of that sample.
+The vocabulary has at most ``VOCABULARY`` words and starts of that sample.
 
 Cases: null or empty text has no words and gets the models' base probability. A category
 without both kinds of documents has probability 0. Copies of a text lie in one
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 from editlift.llm.common import staged, text_or_empty
 
 LABELLED = 20_000
-VOCABULARY = 10_000
+VOCABULARY = 40_000
+#: Letters of the word starts.
+STARTS = (4, 5, 6)
 FOLDS = 2
 #: Tasks of a training pass. The sample is bounded, so they are as well; with four a pass sums up in one stage.
 FIT_TASKS = 4
@@ -43,14 +46,17 @@ TOXIC = "toxic"
 
 
 def words(text: Column) -> Column:
-    return F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+", -1))
+    """Distinct words, and the starts of those as long: these end in a hyphen, which no word has."""
+    plain = F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+", -1))
+    start = lambda k: lambda w: F.concat(F.substring(w, 1, k), F.lit("-"))
+    long = lambda k: lambda w: F.length(w) >= k
+    return F.array_distinct(F.concat(plain, *(F.transform(F.filter(plain, long(k)), start(k)) for k in STARTS)))
 
 
 def trained(features: str, label: str) -> LogisticRegression:
-    """The given label is noisy, so its words are held back more than those of a seeded category."""
     return LogisticRegression(
         featuresCol=features, labelCol=label, probabilityCol="_prob", rawPredictionCol="_raw", predictionCol="_pred",
-        maxIter=15, regParam=0.04 if label == TOXIC else 0.001, elasticNetParam=1.0,
+        maxIter=15, regParam=0.001, elasticNetParam=1.0,
     )
 
 

@@ -283,6 +283,17 @@ def test_toxicity_on_held_out_texts(spark):
     assert len(none) == 3 and not any(r.toxic for r in none)
 
 
+def test_toxic_stems_no_list_has(spark):
+    calm = ["river", "stone", "light", "paper", "green", "seven", "cloud", "table"]
+    ends = ["en", "ung", "heit", "isch", "lich", "bar", "sam", "los", "ig", "haft", "tum", "nis", "ling", "chen", "lein", "er", "el", "e"]
+    text = lambda k: " ".join(calm[(k * p) % 8] for p in (1, 3, 5, 7, 2)) + f" n{chr(97 + k % 26)}{chr(97 + k // 26)}"
+    rows = [(k, text(k) + (f" grumpf{ends[k % 18]}{ends[k // 18 % 18]}" if k % 3 == 0 else "")) for k in range(400)]
+    docs = spark.createDataFrame(rows, DDL)
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(300)], "doc_id long, toxic int")
+    got = toxicity.fit_chain(docs, labels).score(docs).collect()
+    assert len([r for r in got if r.toxic != (r.doc_id % 3 == 0)]) <= 4
+
+
 def test_links_of_a_large_group_of_near_copies(spark, monkeypatch):
     words = [f"w{k}" for k in range(400)]
     rows = [(k, " ".join(words[:k] + [f"x{k}"] + words[k + 1 :])) for k in range(120)]
