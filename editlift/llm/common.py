@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from editlift.session import scratch_path, ship_package, small_batches
 
@@ -25,12 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it: cuts lineage, survives lost executors."""
+def staged(df: DataFrame, name: str, schema: T.StructType | None = None) -> DataFrame:
+    """Write a frame to the shared folder and read it (as ``schema``): cuts lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     small_batches(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path) if schema else df.sparkSession.read.parquet(path)
 
 
 def text_or_empty(name: str) -> Column:

@@ -20,11 +20,14 @@ from __future__ import annotations
 
 from pyspark.ml import Model
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, VectorAssembler
+from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
+from editlift.functions.markup import let
 from editlift.llm.common import staged, text_or_empty
 
 LABELLED = 20_000
@@ -44,18 +47,24 @@ SEEDS = {
 
 TOXIC = "toxic"
 
+#: Places of the vector that hold the probabilities of the categories: the first ones, the last category's in front.
+SLOT = {c: len(SEEDS) - 1 - k for k, c in enumerate(SEEDS)}
+
 
 def words(text: Column) -> Column:
     """Distinct words, and the starts of those as long: these end in a hyphen, which no word has."""
-    plain = F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+", -1))
     start = lambda k: lambda w: F.concat(F.substring(w, 1, k), F.lit("-"))
     long = lambda k: lambda w: F.length(w) >= k
-    return F.array_distinct(F.concat(plain, *(F.transform(F.filter(plain, long(k)), start(k)) for k in STARTS)))
+    # Split once: the words are used four times.
+    return let(
+        F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+", -1)),
+        lambda plain: F.array_distinct(F.concat(plain, *(F.transform(F.filter(plain, long(k)), start(k)) for k in STARTS))),
+    )
 
 
-def trained(features: str, label: str) -> LogisticRegression:
+def trained(label: str) -> LogisticRegression:
     return LogisticRegression(
-        featuresCol=features, labelCol=label, probabilityCol="_prob", rawPredictionCol="_raw", predictionCol="_pred",
+        featuresCol="_words", labelCol=label, probabilityCol="_prob", rawPredictionCol="_raw", predictionCol="_pred",
         maxIter=15, regParam=0.001, elasticNetParam=1.0,
     )
 
@@ -81,27 +90,61 @@ class ToxicityChain:
         """(id, p_<category>.., toxic) for every row; toxic if any category is more likely than not."""
         rows = df.select(df[id_col].alias("id"), words(text_or_empty(text_col)).alias("words"))
         if self.vocabulary is not None:
-            rows = self.vocabulary.transform(rows).drop("words")
+            rows = vectors(self.vocabulary, rows)
         before: list[str] = []
         for name, model in self.models.items():
-            rows = predicted(rows, model, before, f"p_{name}")
-            before.append(f"p_{name}")
-        return rows.select(F.col("id").alias(id_col), *(F.round(p, 9).alias(p) for p in before), (F.greatest(*before) >= 0.5).alias("toxic"))
+            rows = scored(rows, model, before, name)
+            before.append(name)
+        rows = rows.select(F.col("id").alias(id_col), *(F.round(f"p_{c}", 9).alias(f"p_{c}") for c in before))
+        return rows.withColumn("toxic", F.greatest(*(f"p_{c}" for c in before)) >= 0.5)
+
+
+def fit_vocabulary(sample: DataFrame) -> Model:
+    """Words by frequency behind the slots: a slot's name comes more than once in every row, a word once at most."""
+    named = [F.array_repeat(F.lit(f"-{c}"), len(SLOT) + 1 - at) for c, at in SLOT.items()]
+    rows = sample.select(F.concat("words", *named).alias("words"))
+    size = VOCABULARY + len(SLOT)
+    return CountVectorizer(inputCol="words", outputCol="_words", binary=True, minDF=5, vocabSize=size).fit(rows)
+
 
+def vectors(vocabulary: Model, rows: DataFrame) -> DataFrame:
+    """``_words`` in place of the words, its slots empty. The attribute of each word is left out of the schema: no step
+    reads them, and every plan in the driver would hold them all."""
+    return vocabulary.transform(rows).drop("words").withMetadata("_words", {})
 
-def assembled(rows: DataFrame, before: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=["_words", *before], outputCol="_features").transform(rows)
+
+def scored(rows: DataFrame, model: Model | None, before: list[str], name: str) -> DataFrame:
+    """Adds ``p_<name>`` to rows whose slots are empty: what they add to the margin comes from the columns."""
+    if model is None:
+        return rows.withColumn(f"p_{name}", F.lit(0.0))
+    margin = vector_to_array("_raw")[1]
+    for c in before:
+        margin = margin + F.lit(float(model.coefficients[SLOT[c]])) * F.col(f"p_{c}")
+    return model.transform(rows).withColumn(f"p_{name}", 1 / (1 + F.exp(-margin))).drop("_prob", "_raw", "_pred")
 
 
-def predicted(rows: DataFrame, model: Model | None, before: list[str], out: str) -> DataFrame:
+def predicted(rows: DataFrame, model: Model | None, name: str) -> DataFrame:
+    """``rows`` with the category's probability in its slot, the vector as the struct that stores it."""
     if model is None:
-        return rows.withColumn(out, F.lit(0.0))
-    scored = model.transform(assembled(rows, before))
-    return scored.withColumn(out, vector_to_array("_prob")[1]).drop("_features", "_prob", "_raw", "_pred")
+        probability, out = F.lit(0.0), rows
+    else:
+        probability, out = vector_to_array("_prob")[1], model.transform(rows).drop("_raw", "_pred")
+    v = F.unwrap_udt("_words")
+    filled = F.struct(
+        v["type"].alias("type"), v["size"].alias("size"),
+        F.concat(F.array(F.lit(SLOT[name])), v["indices"]).alias("indices"),
+        F.concat(F.array(probability), v["values"]).alias("values"),
+    )
+    return out.select(*(filled.alias(c) if c == "_words" else c for c in rows.columns))
+
+
+def vector_schema(schema: StructType) -> StructType:
+    """The stored struct of ``predicted`` read as a vector."""
+    return StructType([StructField(f.name, VectorUDT()) if f.name == "_words" else f for f in schema])
 
 
-def fit_one(rows: DataFrame, label: str, before: list[str]) -> Model:
-    return trained("_features", label).fit(assembled(rows.coalesce(FIT_TASKS), before))
+def fit_one(rows: DataFrame, label: str) -> Model:
+    return trained(label).fit(rows.coalesce(FIT_TASKS))
 
 
 def folds_of_both_kinds(rows: DataFrame, categories: list[str]) -> dict[str, set[int]]:
@@ -121,23 +164,21 @@ def fit_chain(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     sample = sample.dropDuplicates(["words"])
     if sample.isEmpty():
         return ToxicityChain(None, dict.fromkeys(categories))
-    vocabulary = CountVectorizer(inputCol="words", outputCol="_words", binary=True, minDF=5, vocabSize=VOCABULARY).fit(sample)
-    rows = staged(vocabulary.transform(sample).drop("words"), "toxicity-words")
+    vocabulary = fit_vocabulary(sample)
+    rows = staged(vectors(vocabulary, sample), "toxicity-words")
     fits = folds_of_both_kinds(rows, categories)
     models: dict[str, Model | None] = {}
-    before: list[str] = []
     for name in categories:
-        models[name] = fit_one(rows, name, before) if FOLDS in fits[name] else None
+        models[name] = fit_one(rows, name) if FOLDS in fits[name] else None
         if name == TOXIC:
             break
         folds = []
         for k in range(FOLDS):
             own = rows.where(F.col("fold") == k)
-            model = fit_one(rows.where(F.col("fold") != k), name, before) if k in fits[name] else None
-            folds.append(predicted(own, model, before, f"p_{name}"))
+            model = fit_one(rows.where(F.col("fold") != k), name) if k in fits[name] else None
+            folds.append(predicted(own, model, name))
         whole = folds[0]
         for f in folds[1:]:
             whole = whole.unionByName(f)
-        rows = staged(whole, "toxicity-fold")
-        before.append(f"p_{name}")
+        rows = staged(whole, "toxicity-fold", vector_schema(whole.schema))
     return ToxicityChain(vocabulary, models)

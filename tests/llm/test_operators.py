@@ -8,6 +8,7 @@ import string
 
 import pyarrow as pa
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from editlift.llm import bpe, common, decontam, licenses, minhash, quality, secrets, substrings, toxicity, urls, warc
@@ -310,3 +311,30 @@ def test_batches_for_python_workers_are_bounded(spark):
     sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches)
     big = spark.range(400).select(F.repeat(F.lit("x"), 50_000).alias("text")).coalesce(1)
     assert max(r.n for r in big.mapInArrow(sizes, "n long").collect()) < 8 << 20
+
+
+def test_toxicity_plans_hold_no_attribute_per_word(spark, monkeypatch):
+    letter = string.ascii_lowercase
+    clean = [f"report{letter[k % 7]} about river{letter[k % 11]} and town{letter[k % 5]}" for k in range(60)]
+    rows = [(k, t + (" you idiot scum disgusting" if k % 3 == 0 else "")) for k, t in enumerate(clean)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(60)], "doc_id long, toxic int")
+    seen = []
+
+    def stage(df, name, *schema):
+        seen.append(common.staged(df, name, *schema))
+        return seen[-1]
+
+    monkeypatch.setattr(toxicity, "staged", stage)
+    chain = toxicity.fit_chain(docs, labels)
+    assert not [f.name for df in seen for f in df.schema if f.metadata]
+    # The closed form over the columns is the model on the filled vector.
+    rows = toxicity.vectors(chain.vocabulary, docs.select("doc_id", toxicity.words(F.col("text")).alias("words")))
+    expected = {}
+    for name, model in chain.models.items():
+        expected[name] = {r.doc_id: r.p for r in model.transform(rows).select("doc_id", vector_to_array("_prob")[1].alias("p")).collect()}
+        if name in toxicity.SLOT:
+            filled = toxicity.predicted(rows, model, name)
+            rows = common.staged(filled, "filled", toxicity.vector_schema(filled.schema))
+    for r in chain.score(docs).collect():
+        assert all(abs(r[f"p_{c}"] - expected[c][r.doc_id]) < 1e-8 for c in expected)
