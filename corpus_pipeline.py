@@ -64,7 +64,9 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    decoded = bpe.decode(bpe.encode(docs, BYTE_BPE), BYTE_BPE, keep=True)
+    # Written between: a task then has one Python worker, not an encoder and a decoder with a vocabulary each.
+    encoded = staged(bpe.encode(docs, BYTE_BPE), "ids")
+    decoded = bpe.decode(encoded, BYTE_BPE, keep=True)
     return decoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256")
     )

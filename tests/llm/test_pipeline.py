@@ -34,6 +34,12 @@ def test_stages_on_odd_rows(spark, sf):
     assert none.count() == 0
 
 
+def test_tokens_take_one_python_worker_a_task(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(20)
+    plan = corpus_pipeline.token_stage(spark, docs, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 @pytest.mark.parametrize("name", [f"op{k}_" for k in range(1, 11)])
 def test_queries_give_every_row(spark, sf, name):
     query = next(q for n, q in queries().items() if n.startswith(name))
