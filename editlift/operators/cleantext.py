@@ -18,6 +18,7 @@ from editlift.functions.brackets import top_level_pieces
 from editlift.functions.rows import unnest
 from editlift.functions.titles import strip
 from editlift.operators.spans import running_starts
+from editlift.session import scratch_path
 
 SECTION_MARK = "\u0001"
 ANY_HEADING = r"(?dm)^={1,6}[^=\n][^\n]*={1,6}[ \t]*$"
@@ -203,26 +204,50 @@ def pieces(df: DataFrame, *key: str, text_col: str = "wikitext", rules: Rules =
 def clean_text(df: DataFrame, *key: str, text_col: str = "wikitext", rules: Rules = Rules()) -> DataFrame:
     """(key, text): the pieces joined, in the row."""
     rows = _revision_pieces(df, *key, text_col=text_col, rules=rules)
-    return rows.select(*key, F.array_join(F.transform("_pieces", lambda p: p["piece"]), "").alias("text"))
+    return rows.select(*key, _joined(F.col("_pieces")).alias("text"))
 
 
-def _marks(df: DataFrame, *key: str, text_col: str, rules: Rules) -> DataFrame:
-    rows = _revision_pieces(df, *key, text_col=text_col, rules=rules)
-    narrow = rows.select(
-        *key,
-        F.transform(
-            "_pieces",
-            lambda p: F.struct(
-                p["kind"].alias("kind"),
-                p["name"].alias("name"),
-                F.coalesce(F.length(p["piece"]), F.lit(0)).alias("length"),
-            ),
-        ).alias("_marks"),
+def _joined(pieces: Column) -> Column:
+    return F.array_join(F.transform(pieces, lambda p: p["piece"]), "")
+
+
+def _narrow(pieces: Column) -> Column:
+    """Array of (kind, name, length) of the pieces, in order."""
+    return F.transform(
+        pieces,
+        lambda p: F.struct(
+            p["kind"].alias("kind"),
+            p["name"].alias("name"),
+            F.coalesce(F.length(p["piece"]), F.lit(0)).alias("length"),
+        ),
     )
+
+
+def _placed(narrow: DataFrame, *key: str) -> DataFrame:
     flat = unnest(narrow, *key, array="_marks", value="_m").select(*key, "pos", "_m.*")
     return running_starts(flat, *key, length="length")
 
 
+def _marks(df: DataFrame, *key: str, text_col: str, rules: Rules) -> DataFrame:
+    rows = _revision_pieces(df, *key, text_col=text_col, rules=rules)
+    return _placed(rows.select(*key, _narrow(F.col("_pieces")).alias("_marks")), *key)
+
+
+def _references(placed: DataFrame, *key: str) -> DataFrame:
+    return placed.where(F.col("kind") == "ref").select(*key, "pos", F.col("start").alias("offset"))
+
+
+def text_and_references(
+    df: DataFrame, *key: str, text_col: str = "wikitext", rules: Rules = Rules()
+) -> tuple[DataFrame, DataFrame]:
+    """What ``clean_text`` and ``reference_offsets`` give, each text scanned once: its joined text and narrow pieces are written to the shared folder."""
+    rows = _revision_pieces(df, *key, text_col=text_col, rules=rules)
+    path = scratch_path(df.sparkSession, "pieces")
+    rows.select(*key, _joined(F.col("_pieces")).alias("text"), _narrow(F.col("_pieces")).alias("_marks")).write.parquet(path)
+    scanned = df.sparkSession.read.parquet(path)
+    return scanned.select(*key, "text"), _references(_placed(scanned.select(*key, "_marks"), *key), *key)
+
+
 def template_spans(df: DataFrame, *key: str, text_col: str = "wikitext", rules: Rules = Rules()) -> DataFrame:
     """(key, start, end, label) of each top-level template in the joined text."""
     return (
@@ -234,8 +259,4 @@ def template_spans(df: DataFrame, *key: str, text_col: str = "wikitext", rules:
 
 def reference_offsets(df: DataFrame, *key: str, text_col: str = "wikitext", rules: Rules = Rules()) -> DataFrame:
     """(key, pos, offset) of each top-level reference in the joined text."""
-    return (
-        _marks(df, *key, text_col=text_col, rules=rules)
-        .where(F.col("kind") == "ref")
-        .select(*key, "pos", F.col("start").alias("offset"))
-    )
+    return _references(_marks(df, *key, text_col=text_col, rules=rules), *key)

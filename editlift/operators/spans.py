@@ -31,33 +31,43 @@ def tokens_of(df: DataFrame, *key: str, text_col: str = "text") -> DataFrame:
     """(key, tok_start, token): the tokens of a text with their offset in characters.
 
     Tokens and the blanks between them cover the text, so the offset is a running length. A
-    null or blank text has no tokens. A window holds the narrow rows of one text.
+    null or blank text has no tokens. A window holds the narrow rows of one text; the token goes through it
+    only if it is asked for.
     """
     parts = df.select(*key, F.regexp_extract_all(F.col(text_col), F.lit(TOKEN_OR_BLANK), 0).alias("_parts"))
-    rows = unnest(parts, *key, array="_parts", value="token").withColumn("_length", F.length("token"))
+    rows = unnest(parts, *key, array="_parts", value="token").withColumns(
+        {"_length": F.length("token"), "_blank": F.col("token").rlike(f"^{BLANK}")}
+    )
     placed = running_starts(rows, *key, length="_length", out="tok_start")
-    return placed.where(~F.col("token").rlike(f"^{BLANK}")).select(*key, "tok_start", "token")
+    return placed.where(~F.col("_blank")).select(*key, "tok_start", "token")
 
 
 def _filled(tokens: DataFrame, references: DataFrame, key: str, block: int) -> DataFrame:
-    """Distinct offsets of both kinds with the last token at or before each
-    (``tok``), whether a reference comes next (``ref_next``), and how many
-    references share the offset (``n_refs``)."""
+    """Distinct offsets with whether a token starts there (``is_token``), the number of references there
+    (``n_refs``), the last token at or before (``tok``) and, for a token, whether a reference comes before
+    the next one (``ref_next``).
+
+    Both are one column (``_code``: twice the references, plus one for a token), so that rows and blocks need the
+    same columns of the events. These are dealt out by block once, and Spark uses that exchange for both.
+    """
     events = (
-        tokens.select(key, F.col("tok_start").alias("at"), F.lit(0).alias("kind"))
-        .unionByName(references.select(key, F.col("ref_pos").alias("at"), F.lit(1).alias("kind")))
+        tokens.select(key, F.col("tok_start").alias("at"), F.lit(1).alias("_token"), F.lit(0).alias("_ref"))
+        .unionByName(references.select(key, F.col("ref_pos").alias("at"), F.lit(0).alias("_token"), F.lit(1).alias("_ref")))
         .where(F.col("at").isNotNull())
-        .groupBy(key, "at", "kind")
-        .agg(F.count("*").alias("n_refs"))
-        .withColumn("_block", F.floor(F.col("at") / block))
+        .groupBy(key, "at")
+        .agg((2 * F.sum("_ref") + F.max("_token")).alias("_code"))
+        # Never null, and said so: else the join's test for nulls goes below one of the two exchanges.
+        .withColumn("_block", F.coalesce(F.floor(F.col("at") / block), F.lit(0)))
+        .repartition(key, "_block")
     )
-    in_block = Window.partitionBy(key, "_block").orderBy("at", "kind")
-    token_at = F.when(F.col("kind") == 0, F.col("at"))
+    in_block = Window.partitionBy(key, "_block").orderBy("at")
+    is_token = F.col("_code") % 2 == 1
+    token_at = F.when(is_token, F.col("at"))
     local = events.withColumn("_tok", F.last(token_at, ignorenulls=True).over(in_block)).withColumn(
-        "_next", F.lead("kind").over(in_block)
+        "_next", F.lead(~is_token).over(in_block)
     )
     blocks = events.groupBy(key, "_block").agg(
-        F.max(token_at).alias("_last"), F.min(F.col("at") * 2 + F.col("kind")).alias("_first")
+        F.max(token_at).alias("_last"), F.min(F.struct("at", (~is_token).alias("ref"))).alias("_first")
     )
     over_blocks = Window.partitionBy(key).orderBy("_block")
     carried = blocks.select(
@@ -66,15 +76,15 @@ def _filled(tokens: DataFrame, references: DataFrame, key: str, block: int) -> D
         F.last("_last", ignorenulls=True)
         .over(over_blocks.rowsBetween(Window.unboundedPreceding, -1))
         .alias("_carry"),
-        F.pmod(F.lead("_first").over(over_blocks), F.lit(2)).alias("_first_after"),
+        F.lead("_first.ref").over(over_blocks).alias("_first_after"),
     )
     return local.join(carried, [key, "_block"]).select(
         key,
         "at",
-        "kind",
-        "n_refs",
+        is_token.alias("is_token"),
+        F.shiftright("_code", 1).alias("n_refs"),
         F.coalesce("_tok", "_carry").alias("tok"),
-        (F.coalesce("_next", "_first_after") == 1).alias("ref_next"),
+        ((F.col("_code") > 1) | F.coalesce("_next", "_first_after", F.lit(False))).alias("ref_next"),
     )
 
 
@@ -82,8 +92,8 @@ def flag_tokens(tokens: DataFrame, references: DataFrame, key: str = "doc_id", b
     """(key, tok_start, reference): is there a reference before the next token."""
     return (
         _filled(tokens, references, key, block)
-        .where(F.col("kind") == 0)
-        .select(key, F.col("at").alias("tok_start"), F.coalesce("ref_next", F.lit(False)).alias("reference"))
+        .where("is_token")
+        .select(key, F.col("at").alias("tok_start"), F.col("ref_next").alias("reference"))
     )
 
 
@@ -95,6 +105,6 @@ def token_of_reference(tokens: DataFrame, references: DataFrame, key: str = "doc
     """
     return (
         _filled(tokens, references, key, block)
-        .where(F.col("kind") == 1)
+        .where("n_refs > 0")
         .select(key, F.col("at").alias("ref_pos"), "n_refs", F.col("tok").alias("tok_start"))
     )

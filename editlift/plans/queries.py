@@ -351,14 +351,13 @@ def j7_reference_tokens(spark, sf):
 
 
 def _text_with_references(spark, sf):
-    rows = revisions(spark, sf)
-    tokens = spans.tokens_of(cleantext.clean_text(rows, "rev_id"), "rev_id")
-    return tokens, cleantext.reference_offsets(rows, "rev_id").withColumnRenamed("offset", "ref_pos")
+    text, references = cleantext.text_and_references(revisions(spark, sf), "rev_id")
+    return spans.tokens_of(text, "rev_id"), references.withColumnRenamed("offset", "ref_pos")
 
 
 @query
 def j6_text_tokens(spark, sf):
-    return _text_with_references(spark, sf)[0]
+    return spans.tokens_of(cleantext.clean_text(revisions(spark, sf), "rev_id"), "rev_id")
 
 
 @query

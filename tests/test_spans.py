@@ -1,6 +1,8 @@
 import random
+import re
 
-from editlift.operators import batches, spans
+from editlift.operators import batches, cleantext, spans
+from editlift.plans import queries
 
 
 def brute(tokens, refs):
@@ -84,3 +86,24 @@ def test_tokens_cover_the_text(spark):
     assert [r["token"] for r in rows if r["rev_id"] == 1] == ["Caf\u00e9s", "are", "2nd", ".", "(", "x", ")"]
     assert {r["rev_id"] for r in rows} == {1, 5}
     assert all(texts[r["rev_id"]][r["tok_start"]:].startswith(r["token"]) for r in rows)
+
+
+def test_text_queries_scan_and_place_once(spark, sf):
+    """Each text is scanned once, and rows and blocks of the fill share one exchange of the events."""
+    for name in ("j7_text_references", "j6_flagged_text"):
+        df = queries.QUERIES[name](spark, sf)
+        df.collect()
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" not in text, name
+        final = text.split("Initial Plan")[0]
+        assert "ReusedExchange" in final, name
+        assert len(re.findall(r"REPARTITION_BY_COL", final.split("ReusedExchange")[0])) == 1, name
+
+
+def test_scanned_once_is_the_same(spark):
+    texts = {1: "a <ref>x</ref> b {{ref|y}}\n== H ==\nc [[L|m]]", 2: "", 3: None, 4: "<ref>z</ref>"}
+    df = spark.createDataFrame(list(texts.items()), "rev_id long, wikitext string")
+    text, references = cleantext.text_and_references(df, "rev_id")
+    assert sorted(text.collect()) == sorted(cleantext.clean_text(df, "rev_id").collect())
+    assert sorted(references.collect()) == sorted(cleantext.reference_offsets(df, "rev_id").collect())
+    assert references.count() == 3
