@@ -16,8 +16,8 @@ A 50-byte string of a document goes if it also starts in a document with a small
    neighbours with 50 common bytes are equal strings; the smallest id of a run tells who keeps it.
 4. Found strings go back to their documents and are merged to spans.
 
-Buckets are as many as the input asks for, so a bucket's columns lie in memory; their
-files are Spark's shuffle files, read once in sequence.
+Buckets are as many as the input asks for, so a bucket's windows lie in memory; their
+files are Spark's shuffle files, read once in sequence. The columns are built for some anchors of the bucket at a time.
 
 Cases: null or empty text has nothing to remove, as has a text below 50 bytes. A null id is
 neither smaller nor larger than others: its text stays whole. Rows of equal id are one document
@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from editlift.llm.common import pieces, text_or_empty
+from editlift.llm.common import give_back, pieces, text_or_empty
 
 LENGTH = 50
 GRAM = 16
@@ -42,6 +42,8 @@ SPAN = LENGTH - GRAM + 1
 LEFT = SPAN - 1
 WIDTH = LEFT + LENGTH
 BUCKET_BYTES = 16 << 20
+#: Windows put in order at once, some 600 bytes each; those of one anchor stay together.
+WINDOWS = 1 << 16
 PIECE = 8 << 20
 
 #: Kinds of packed rows.
@@ -300,25 +302,53 @@ def column_wise(columns: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return found
 
 
-def find_equal(buckets: int):  # noqa: ANN201
+def of_anchor(inner: np.ndarray) -> np.ndarray:
+    """A number of each window's anchor; windows of different anchors have no aligned string in common."""
+    gram = np.ascontiguousarray(inner.view(np.uint8).reshape(-1, WIDTH)[:, LEFT : LEFT + GRAM]).view(np.uint64)
+    h = gram[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ gram[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F)
+    return h ^ h >> np.uint64(31)
+
+
+def aligned(inner: np.ndarray, limit: int) -> Iterator[np.ndarray]:
+    """Rows of about ``limit`` windows at a time; the windows of one anchor stay together."""
+    anchor = of_anchor(inner)
+    order = np.argsort(anchor, kind="stable")
+    ends = np.append(np.flatnonzero(np.diff(anchor[order])) + 1, len(order))
+    start = 0
+    while start < len(order):
+        # The last end within the limit, or else the next one.
+        k = max(np.searchsorted(ends, start + limit, side="right") - 1, np.searchsorted(ends, start, side="right"))
+        yield order[start : ends[k]]
+        start = int(ends[k])
+
+
+def find_equal(buckets: int, limit: int = WINDOWS):  # noqa: ANN201
     def run(table: pa.Table) -> pa.Table:
         """Rows for the documents' buckets: runs of starts whose strings an earlier document has."""
         kinds, data = table["kind"].to_pylist(), table["data"].to_pylist()
         home = table["bucket"].to_pylist()
         rows = [(b, k, d) for b, k, d in zip(home, kinds, data) if k == SHARED]
         parts = [unpacked(d) for d, k in zip(data, kinds) if k == ANCHORS]
+        del data
         if parts:
             inner, before, after, ids, hashes, place = (np.concatenate(c) for c in zip(*parts))
-            columns = inner.view(np.uint8).reshape(-1, WIDTH).T.astype(np.uint16) + np.uint16(1)
-            at = np.arange(WIDTH)[:, None] - LEFT
-            columns[(at < -before.astype(np.int64)) | (at >= after.astype(np.int64))] = 0
-            edged = np.zeros((len(ids), SPAN + 2), dtype=np.int8)
-            edged[:, 1:-1] = column_wise(columns, ids).T
-            step = np.diff(edged, axis=1)
-            window, first = np.nonzero(step > 0)
-            last = np.nonzero(step < 0)[1] - 1
-            origin = place[window].astype(np.int64) - LEFT
-            rows += marked(buckets, ids[window], hashes[window], origin + first, origin + last)
+            del parts
+            at = np.arange(WIDTH, dtype=np.int16)[:, None] - np.int16(LEFT)
+            runs = []
+            for k in aligned(inner, limit):
+                columns = inner[k].view(np.uint8).reshape(-1, WIDTH).T.astype(np.uint16)
+                columns += np.uint16(1)
+                columns[(at < -before[k].astype(np.int16)) | (at >= after[k].astype(np.int16))] = 0
+                edged = np.zeros((len(k), SPAN + 2), dtype=np.int8)
+                edged[:, 1:-1] = column_wise(columns, ids[k]).T
+                step = np.diff(edged, axis=1)
+                window, first = np.nonzero(step > 0)
+                last = np.nonzero(step < 0)[1] - 1
+                window = k[window]
+                origin = place[window].astype(np.int64) - LEFT
+                runs.append((ids[window], hashes[window], origin + first, origin + last))
+            rows += marked(buckets, *(np.concatenate(c) for c in zip(*runs)))
+            give_back()
         if not rows:
             return FOUND.empty_table()
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), FOUND)], schema=FOUND)

@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import re
 import string
+import tracemalloc
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.ml.functions import vector_to_array
@@ -154,6 +156,29 @@ def test_repeated_bytes(docs, empty, spark):
     assert rows_of(digest(substrings.remove_repeats(spark.createDataFrame(mixed, DDL).repartition(5)))) == removed(mixed)
 
 
+def test_bucket_of_many_windows_in_bounded_memory():
+    m, width = 60_000, substrings.WIDTH
+    rng = np.random.default_rng(7)
+    inner = rng.integers(97, 123, (m // 3, width), dtype=np.uint8)
+    inner = np.concatenate([inner, inner, inner])
+    inner[::5, 0] = 64  # near copies
+    inner[: m // 6] = inner[0]  # and one large group
+    edge = lambda n: np.full(m, n, np.uint8)
+    data = substrings.packed(
+        inner.reshape(-1).view(f"V{width}"), edge(substrings.LEFT), edge(substrings.LENGTH), rng.permutation(m), np.arange(m), np.full(m, 34, np.uint32)
+    )
+    rows = pa.table({"bucket": [0], "kind": pa.array([substrings.ANCHORS], pa.int32()), "data": [data]})
+    found, peaks = [], []
+    for limit in (2000, m):
+        tracemalloc.start()
+        out = substrings.find_equal(1, limit)(rows)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        found.append(sorted(zip(*(x.tolist() for d in out["data"].to_pylist() for x in substrings.unpacked(d)))))
+    assert found[0] == found[1] and len(found[0]) > m // 3
+    assert peaks[0] < peaks[1] / 2
+
+
 def test_quality_counts(docs, empty):
     got = {(r.doc_id, r.n_words): r for r in quality.quality_rules(docs).collect()}
     for i, t in TEXTS:
