@@ -9,16 +9,25 @@ single huge text spreads over many tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from editlift.functions.rows import unnest
+from editlift.session import broadcast_if_small
 
 BLOCK = 1 << 16
 
 #: A token is a run of letters and digits or any other visible character; runs of blanks lie between.
 BLANK = r"[ \t\n\x0B\f\r]+"
-TOKEN_OR_BLANK = r"[\p{L}\p{N}]+|[^\p{L}\p{N} \t\n\x0B\f\r]|" + BLANK
+TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N} \t\n\x0B\f\r]"
+TOKEN_OR_BLANK = TOKEN + "|" + BLANK
+
+#: Characters of a text whose starts are listed at once.
+PART = 4_096
+START_MARK = "\u0001"
 
 
 def running_starts(df: DataFrame, *key: str, length: str, pos: str = "pos", out: str = "start") -> DataFrame:
@@ -27,13 +36,47 @@ def running_starts(df: DataFrame, *key: str, length: str, pos: str = "pos", out:
     return df.withColumn(out, F.coalesce(F.sum(length).over(before), F.lit(0)))
 
 
+def token_starts(text: Column) -> Column:
+    """Array of the offsets, in characters, at which the tokens of a text start.
+
+    Letters and digits become one sign and then every first one of a run, like any other visible character, a mark:
+    one character for one, so a mark stands where its token starts. The marks are read off in parts of fixed length.
+    """
+    signs = F.regexp_replace(text, r"[\p{L}\p{N}]", "a")
+    marks = F.regexp_replace(signs, r"(?<!a)a|[^a \t\n\x0B\f\r]", START_MARK)
+    parts = F.regexp_extract_all(marks, F.lit(f"(?s).{{1,{PART}}}"), 0)
+
+    def starts(part: Column, n: Column) -> Column:
+        at = F.transform(F.split(part, ""), lambda c, i: F.when(c == START_MARK, n.cast("long") * PART + i))
+        return F.filter(at, lambda x: x.isNotNull())
+
+    return F.flatten(F.transform(parts, starts))
+
+
 def tokens_of(df: DataFrame, *key: str, text_col: str = "text") -> DataFrame:
     """(key, tok_start, token): the tokens of a text with their offset in characters.
 
-    Tokens and the blanks between them cover the text, so the offset is a running length. A
-    null or blank text has no tokens. A window holds the narrow rows of one text; the token goes through it
-    only if it is asked for.
+    A null or blank text has no tokens. A text whose key is its own is cut in the row, without a shuffle. Texts that share a
+    key, null included, are counted on in one window, as ``running_starts`` does; one job over the keys finds these.
     """
+    repeated = df.groupBy(*key).count().where("count > 1").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)])
+    if not repeated.limit(1).count():
+        return _own_tokens(df, *key, text_col=text_col)
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)])
+    repeated = broadcast_if_small(repeated)
+    own = _own_tokens(df.join(repeated, same, "left_anti"), *key, text_col=text_col)
+    return own.unionByName(_tokens_by_window(df.join(repeated, same, "left_semi"), *key, text_col=text_col))
+
+
+def _own_tokens(df: DataFrame, *key: str, text_col: str) -> DataFrame:
+    tokens = F.regexp_extract_all(F.col(text_col), F.lit(TOKEN), 0)
+    pairs = F.arrays_zip(token_starts(F.col(text_col)).alias("tok_start"), tokens.alias("token"))
+    rows = unnest(df.select(*key, pairs.alias("_tokens")), *key, array="_tokens", value="_t")
+    return rows.select(*key, "_t.tok_start", "_t.token")
+
+
+def _tokens_by_window(df: DataFrame, *key: str, text_col: str) -> DataFrame:
+    """Tokens and the blanks between them cover the text, so the offset is a running length over the texts of a key."""
     parts = df.select(*key, F.regexp_extract_all(F.col(text_col), F.lit(TOKEN_OR_BLANK), 0).alias("_parts"))
     rows = unnest(parts, *key, array="_parts", value="token").withColumns(
         {"_length": F.length("token"), "_blank": F.col("token").rlike(f"^{BLANK}")}

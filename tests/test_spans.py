@@ -107,3 +107,25 @@ def test_scanned_once_is_the_same(spark):
     assert sorted(text.collect()) == sorted(cleantext.clean_text(df, "rev_id").collect())
     assert sorted(references.collect()) == sorted(cleantext.reference_offsets(df, "rev_id").collect())
     assert references.count() == 3
+
+
+def test_tokens_are_placed_without_a_shuffle(spark):
+    """Starts come from the row, also across the parts they are read in, and equal the running lengths."""
+    rng = random.Random(6)
+    letters = "ab1 \t\n\x0b.,é́一​ \x01\U0001f600\U00020000\U00020001\U0001d400'"
+    texts = {i: "".join(rng.choice(letters) for _ in range(rng.randrange(40))) for i in range(60)}
+    texts |= {100: "x" * 9_000 + " y", 101: "".join(rng.choice(letters) for _ in range(12_500)), 102: None, 103: "", 104: " \n", 105: "\U00020000b " * 3_000}
+    df = spark.createDataFrame(list(texts.items()), "rev_id long, text string").cache()
+    got = spans.tokens_of(df, "rev_id")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = got.collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, spans._tokens_by_window(df, "rev_id", text_col="text").collect()))
+    assert got.schema["tok_start"].dataType.typeName() == "long"
+    assert all(texts[r["rev_id"]][r["tok_start"]:].startswith(r["token"]) for r in rows)
+
+
+def test_texts_of_one_key_are_counted_on(spark):
+    data = [(1, "a b"), (1, "a b"), (None, "c d"), (None, "c d"), (2, "e f"), (3, None), (3, " ")]
+    df = spark.createDataFrame(data, "rev_id long, text string")
+    want = sorted(map(repr, spans._tokens_by_window(df, "rev_id", text_col="text").collect()))
+    assert sorted(map(repr, spans.tokens_of(df, "rev_id").collect())) == want and len(want) == 10
